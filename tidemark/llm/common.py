@@ -107,17 +107,19 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all white-space words of the lower-cased texts, and each text's number of words."""
+#: A-Z in lower case; every ASCII byte that is no letter or digit a space; other bytes as they are.
+WORD_BYTES = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def hashed_words(texts: list[str], table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all white-space words of the texts, mapped by ``table``, and each text's number of words."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    raw = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+    raw = [t.encode("utf-8", "surrogatepass").translate(table) for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=1)
+    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(end) > len(start):
-        end = end[-len(start):] if len(start) else end[:0]
     bounds = np.cumsum([len(r) + 1 for r in raw])
     upto = np.searchsorted(start, bounds, side="left")
     return span_hashes(data, start, end), np.diff(upto, prepend=0)

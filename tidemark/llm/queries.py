@@ -5,9 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .licenses import scan
+from .materialise import materialise
 from .packing import pack
 from .simhash import near_duplicates
+from .sketches import next_likeness
+from .tiling import leaks
+from .urls import HOST_RULES, PATTERN_RULES, Pattern, judge
+from .warc import round_trip
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
+
+
+def op7_sql() -> str:
+    """The same rules in SQL: each host rule as a condition, and the pattern rules' expressions over lower-cased URLs."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
+    verdict = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in longest)
+    patterns = sorted((Pattern(r) for r in PATTERN_RULES), key=lambda p: p.verdict)
+    case = " ".join(f"WHEN regexp_matches(low, '{p.source}') THEN '{p.rule}'" for p in patterns)
+    blocks = ", ".join(f"'{p.rule}'" for p in patterns if p.verdict == "block")
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos FROM pages),
+r AS (SELECT page_id, lower(url) AS low, CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, low, lower(regexp_extract(rest, '^[^/]*')) AS host, regexp_extract(rest, '/.*$') AS path FROM r),
+j AS (SELECT *, CASE {rule} END AS rule, CASE {case} END AS hit FROM h)
+SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN hit IN ({blocks}) THEN 'block' ELSE 'allow' END END AS verdict,
+  CASE WHEN rule IS NULL THEN hit END AS pattern
+FROM j
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +55,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages")).drop("candidates")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(_table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to")
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (op1_simhash, op3_sketches, op4_decontaminate, op5_licenses, op6_materialise, op7_urls, op9_warc, op10_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op10_packing)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL, "op7_urls": op7_sql()}
