@@ -13,6 +13,7 @@ from .packing import pack
 from .simhash import near_duplicates
 from .sketches import next_likeness
 from .tiling import leaks
+from .toxicity import score, train
 from .urls import HOST_RULES, PATTERN_RULES, Pattern, judge
 from .warc import round_trip
 
@@ -75,6 +76,11 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages")).drop("candidates")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = round_trip(_table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
@@ -87,7 +93,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_simhash, op3_sketches, op4_decontaminate, op5_licenses, op6_materialise, op7_urls, op9_warc, op10_packing)
+_QUERIES = (op1_simhash, op3_sketches, op4_decontaminate, op5_licenses, op6_materialise, op7_urls, op8_toxicity, op9_warc, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
