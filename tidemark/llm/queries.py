@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .licenses import scan
 from .materialise import materialise
 from .packing import pack
+from . import ppm
 from .simhash import near_duplicates
 from .sketches import next_likeness
 from .tiling import leaks
@@ -56,6 +57,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_likeness(_table(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_simhash, op3_sketches, op4_decontaminate, op5_licenses, op6_materialise, op7_urls, op8_toxicity, op9_warc, op10_packing)
+_QUERIES = (op1_simhash, op2_ppm, op3_sketches, op4_decontaminate, op5_licenses, op6_materialise, op7_urls, op8_toxicity, op9_warc, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
