@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,9 @@ _QUERIES = (op1_simhash, op2_ppm, op3_sketches, op4_decontaminate, op5_licenses,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op7_urls": op7_sql()}
+    sql = {"op9_warc": OP9_SQL, "op7_urls": op7_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in sql.items() if v}

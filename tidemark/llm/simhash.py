@@ -241,4 +241,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     an id all stay or all go.
     """
     kept = near_duplicates(df, id_col, text_col, k, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(kept, df[id_col] == F.col("_keep"), "left_semi").unionByName(df.where(df[id_col].isNull()))
+    # One scan: rows with a null id take part in the join under a key that is always kept.
+    never = F.lit("-")
+    kept = kept.select(F.col("_keep").cast("string")).union(df.sparkSession.range(1).select(never.alias("_keep")))
+    return df.join(kept, F.coalesce(df[id_col].cast("string"), never) == F.col("_keep"), "left_semi")
