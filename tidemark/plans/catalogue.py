@@ -28,3 +28,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"tidemark.plans.{name}")
+
+
+#: Modules that register queries.
+MODULES = ["series_queries"]
+_load()
