@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, bounded_batches, span_hashes, texts_of
 
 #: Labelled documents of each class that are learned from, at most (in expectation: chosen by hash).
-SAMPLE = 8000
+SAMPLE = 3000
 #: Bytes of a shared backoff context, and the discount.
 ORDER, DISCOUNT = 5, 0.75
 #: Longest beginning of a word that the class models tell apart.
@@ -53,34 +53,50 @@ def spans(words: list[bytes]) -> Spans:
 
 
 class Table(NamedTuple):
-    """Sorted keys with values: found by binary search."""
+    """Sorted keys with columns of values, found by binary search; a key that isn't there has zeros."""
 
     keys: np.ndarray
-    values: np.ndarray
+    values: tuple[np.ndarray, ...]
 
-    @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> Table:
-        u, inverse = np.unique(keys, return_inverse=True)
-        return Table(u, np.bincount(inverse, values, len(u)).astype(np.float32))
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys), np.float32)
+            return [np.zeros(len(keys), np.float32) for _ in self.values]
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[place] == keys, self.values[place], np.float32(0))
+        return [np.where(self.keys[place] == keys, v[place], np.float32(0)) for v in self.values]
 
 
-class Model(NamedTuple):
-    """grams, contexts and types (kinds of next byte), by class for word beginnings and shared for backoff orders."""
+class Counts(NamedTuple):
+    """Grams with their counts, and contexts with their counts and kinds of next byte."""
 
-    own: tuple[tuple[Table, Table, Table], ...]
-    shared: tuple[tuple[Table, Table, Table], ...]
+    grams: Table
+    contexts: Table
 
+    @staticmethod
+    def of(context: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 1) -> Counts:
+        """Contexts that occur under ``least`` times are left to the backoff."""
+        g, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        count = np.bincount(inverse, n, len(g))
+        c, of = np.unique(context[first], return_inverse=True)
+        total, kinds = np.bincount(of, count, len(c)), np.bincount(of, minlength=len(c))
+        keep, kept = total >= least, (total >= least)[of] if len(of) else np.zeros(0, bool)
+        f = np.float32
+        return Counts(Table(g[kept], (count[kept].astype(f),)), Table(c[keep], (total[keep].astype(f), kinds[keep].astype(f))))
+
+    def smooth(self, context: np.ndarray, gram: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Discounted probabilities of the grams' last bytes, interpolated with those ``below``; unseen contexts leave them."""
+        total, kinds = self.contexts.get(context)
+        seen = total > 0
+        out = below.copy()
+        have = self.grams.get(gram)[0][seen]
+        out[seen] = (np.maximum(have - DISCOUNT, 0) + DISCOUNT * kinds[seen] * below[seen]) / total[seen]
+        return out
 
-def _counts(context: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[Table, Table, Table]:
-    grams = Table.of(gram, n)
-    u, first = np.unique(gram, return_index=True)
-    return grams, Table.of(context, n), Table.of(context[first], np.ones(len(u)))
+
+class Model(NamedTuple):
+    """Counts of word beginnings by class (toxic, ordinary), and shared ones of the backoff orders, the longest first."""
+
+    own: tuple[Counts, Counts]
+    shared: tuple[Counts, ...]
 
 
 def _at(s: Spans, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +109,18 @@ def fit(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     """The models of words that occurred so often in toxic and ordinary documents."""
     s = spans(words)
     context, gram = _at(s, PREFIX)
-    own = tuple(_counts(context[n[s.word] > 0], gram[n[s.word] > 0], n[s.word][n[s.word] > 0]) for n in (toxic, ordinary))
+    own = []
+    for n in (toxic, ordinary):
+        there = np.flatnonzero(n[s.word] > 0)
+        own.append(Counts.of(context[there], gram[there], n[s.word][there], least=2))
     # Continuation counts: a shorter gram counts once for each longer one that it ends, of both classes together.
-    shared = []
-    longer = gram
+    shared, longer = [], gram
     for k in range(ORDER, -1, -1):
         context, gram = _at(s, k)
         _, first = np.unique(longer, return_index=True)
-        shared.append(_counts(context[first], gram[first], np.ones(len(first))))
+        shared.append(Counts.of(context[first], gram[first], np.ones(len(first))))
         longer = gram
-    return Model(own, tuple(shared))
+    return Model((own[0], own[1]), tuple(shared))
 
 
 def log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
@@ -111,21 +129,11 @@ def log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
         return np.zeros(0)
     s = spans(words)
     p = np.full(len(s.at), 1 / 257)
-    for k, (grams, contexts, types) in zip(range(ORDER + 1), reversed(model.shared), strict=True):
-        context, gram = _at(s, k)
-        total = contexts.get(context)
-        seen = total > 0
-        have, kinds, total = grams.get(gram)[seen], types.get(context)[seen], total[seen]
-        p[seen] = (np.maximum(have - DISCOUNT, 0) + DISCOUNT * kinds * p[seen]) / total
-    context, gram = _at(s, PREFIX)
-    out = []
-    for grams, contexts, types in model.own:
-        total = contexts.get(context)
-        q, seen = p.copy(), total > 0
-        have, kinds, total = grams.get(gram)[seen], types.get(context)[seen], total[seen]
-        q[seen] = (np.maximum(have - DISCOUNT, 0) + DISCOUNT * kinds * p[seen]) / total
-        out.append(np.bincount(s.word, np.log(q), len(words)))
-    return out[0] - out[1]
+    for k, counts in enumerate(reversed(model.shared)):
+        p = counts.smooth(*_at(s, k), p)
+    whole = _at(s, PREFIX)
+    toxic, ordinary = (np.bincount(s.word, np.log(c.smooth(*whole, p)), len(words)) for c in model.own)
+    return toxic - ordinary
 
 
 def split(text: str) -> list[bytes]:
@@ -253,6 +261,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[at]), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = learn.mapInArrow(run, "toxic int, x array<double>").toArrow()
+    other.destroy()
     y = rows.column("toxic").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES)
     if len(set(y.tolist())) < 2:
