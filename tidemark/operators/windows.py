@@ -101,8 +101,12 @@ def nearest_resample(df: DataFrame, key: str, ts: str, values: list[str], step:
     """
     rows = df.select(key, col(ts).alias("_t"), F.struct(col(ts).alias("t"), *values).alias("_v")).withColumn("_b", F.floor(F.col("_t") / bucket))
     bounds = df.groupBy(key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    ticks = bounds.select(key, "_first", F.explode(F.sequence(F.lit(0), F.floor((F.col("_last") - F.col("_first")) / step).cast("long"))).alias("tick"))
-    ticks = ticks.select(key, "tick", (F.col("_first") + F.col("tick") * step).alias("_t")).withColumn("_b", F.floor(F.col("_t") / bucket))
+    # Ticks are made bucket by bucket, so that no row holds a recording's whole grid.
+    spans = bounds.select(key, "_first", "_last", F.explode(F.sequence(F.floor(F.col("_first") / bucket), F.floor(F.col("_last") / bucket))).alias("_b"))
+    low = F.greatest(F.ceil((F.col("_b") * bucket - F.col("_first")) / step), F.lit(0))
+    high = F.floor((F.least(F.col("_b") * bucket + (bucket - 1), F.col("_last")) - F.col("_first")) / step)
+    ticks = spans.where(low <= high).select(key, "_first", "_b", F.explode(F.sequence(low, high)).alias("tick"))
+    ticks = ticks.select(key, F.col("tick").cast("long").alias("tick"), (F.col("_first") + F.col("tick") * step).cast("long").alias("_t"), "_b")
     edges = rows.groupBy(key, "_b").agg(F.min(F.struct("_t", "_v")).alias("lo"), F.max(F.struct("_t", "_v")).alias("hi"))
     both = edges.join(ticks.select(key, "_b").distinct(), [key, "_b"], "full")
     span = Window.partitionBy(key).orderBy("_b")
