@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest Arrow batch handed to Python; long texts then never pile up in one batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: A-Z to a-z on UTF-8 bytes; bytes of other characters stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

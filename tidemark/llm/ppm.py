@@ -27,9 +27,9 @@ from .common import bounded_batches, materialize, remove_tables, signed, span_ha
 
 ORDER, LOW = 5, 2
 #: Rows of each broadcast table.
-HEAD = 1 << 20
+HEAD = 1 << 19
 #: Bytes of text that a task works on at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 END = 255
 GRAM, WORD = 0, 1
 #: The end token among the words: no word hashes to it but by chance of 2 ** -64.
@@ -80,7 +80,7 @@ def keys_of(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
 class Counter:
     """Counts of keys in one task, in training rows and in all rows; given out when many."""
 
-    def __init__(self, kind: int, limit: int = 1 << 20):
+    def __init__(self, kind: int, limit: int = 1 << 19):
         self.kind, self.limit = kind, limit
         self.keys, self.train, self.all = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -279,7 +279,7 @@ def head_of(values: DataFrame, most: int) -> tuple[HashTable, DataFrame]:
     bound = F.lit(1 << min(least, 62))
     head = values.where(F.col("n_all") >= bound).select("key", "value", "known").toArrow()
     keys = head.column("key").to_numpy().view(np.uint64)
-    table = HashTable(keys, head.column("value").to_numpy(), head.column("known").to_numpy().astype(np.int64))
+    table = HashTable(keys, head.column("value").to_numpy(), head.column("known").to_numpy())
     return table, values.where(F.col("n_all") < bound).select("kind", "key", "value", "known")
 
 
