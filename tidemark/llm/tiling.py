@@ -23,6 +23,7 @@ from .common import WORD_BYTES, bounded_batches, hashed_words, mix, shingle_hash
 SEED, COVERAGE = 4, 0.7
 #: Bytes of benchmark texts that tasks hold at once; a larger benchmark is matched in blocks of this size.
 BLOCK_BYTES = 16 << 20
+_BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, item_id long, item_words long, matched_words long, tiles long, coverage double, first_word long, last_word long"
 
 
@@ -70,12 +71,11 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        base = np.multiply.accumulate(np.full(n + 1, np.uint64(0x9E3779B97F4A7C15)))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * base[:n], out=total[1:])
-        # Runs are compared at the same power: each is raised to the last one's.
-        return mix((total[k:] - total[:-k]) * base[n - k - np.arange(n - k + 1)])
+    up, down = (np.multiply.accumulate(np.full(n, np.uint64(b))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up, out=total[1:])
+    # A run's sum starts at its place's power: taken back to the first, equal runs are equal anywhere.
+    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
 def tile(item: np.ndarray, document: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
