@@ -26,13 +26,13 @@ HOST_RULES = (
 )
 #: Pattern rules for URLs that no host rule fits.
 PATTERN_RULES = (
-    "||blog.^",
+    "||blog.",
     "^utm_source=feed^",
-    "||m.^de/^",
-    "||ads.^",
+    "||m.*/de/",
+    "||ads.",
     "^track^",
     "^sponsored^",
-    "@@||www.^",
+    "@@||www.",
     "@@^page=2^",
 )
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, pattern string, candidates int"
