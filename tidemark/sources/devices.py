@@ -108,7 +108,7 @@ def decode_cwa(path: str, content: bytes) -> pd.DataFrame:
         seconds[early], seconds[late] = anchor[0] + (index[early] - place[0]) / rate, anchor[-1] + (index[late] - place[-1]) / rate
     else:
         seconds = anchor[0] + (index - place[0]) / rate
-    raw = blocks["data"].view(np.uint8).reshape(len(blocks), 480)
+    raw = np.ascontiguousarray(blocks["data"]).view(np.uint8).reshape(len(blocks), 480)
     if packed:
         words = raw.view("<u4").astype(np.int64)
         exponent = words >> 30
