@@ -62,3 +62,9 @@ def quantile(c: str | Column, q: float) -> Column:
 
 def iqr(c: str | Column) -> Column:
     return quantile(c, 0.75) - quantile(c, 0.25)
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation; null where either side has no spread."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / F.when(spread > 0, spread))

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import correlation
+
 RANGES = 256
 
 
@@ -182,6 +184,6 @@ def mean_ci(df: DataFrame, value: str, keys: list[str] = (), quantile: float = 1
 
 def pearson_ci(df: DataFrame, x: str, y: str, keys: list[str] = (), quantile: float = 1.959963984540054) -> DataFrame:
     """Correlation with its interval by Fisher's z."""
-    c = df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 3")
+    c = df.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 3")
     half = F.lit(quantile) / F.sqrt(F.col("n") - 3)
     return c.select(*keys, "r", F.tanh(F.atanh("r") - half).alias("lower"), F.tanh(F.atanh("r") + half).alias("upper"))

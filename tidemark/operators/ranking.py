@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import quantile
+from tidemark.functions.columns import correlation, quantile
 
 from .evaluation import running_totals
 from .windows import rank_max
@@ -89,7 +89,7 @@ def label_correlations(df: DataFrame, features: list[str], label: str) -> DataFr
 def redundancy(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, redundancy): mean absolute correlation with the other features; one aggregate over all rows."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = df.agg(*[F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[F.abs(correlation(a, b)).alias(f"{a}|{b}") for a, b in pairs])
     each = F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"`{a}|{b}`").alias("v")) for a, b in pairs for x in (a, b)])
     return one.select(F.explode(each).alias("e")).groupBy(F.col("e.feature").alias("feature")).agg(F.avg("e.v").alias("redundancy"))
 
@@ -160,7 +160,7 @@ def mrmr(df: DataFrame, features: list[str], label: str, k: int) -> list[str]:
     """The first ``k`` features by relevance over redundancy: F statistics and correlations from two aggregates, the greedy choice on the driver over features alone."""
     relevance = {r.feature: r.f or 0.0 for r in f_statistics(df, features, label).collect()}
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = df.agg(*[F.abs(F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
+    row = df.agg(*[F.abs(correlation(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
     corr = {}
     for i, (a, b) in enumerate(pairs):
         corr[a, b] = corr[b, a] = row[i] or 0.0

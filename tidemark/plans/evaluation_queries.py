@@ -128,6 +128,6 @@ def mean_ci(spark, sf_dir):
     return m.select("lang", *[r(c).alias(c) for c in m.columns[1:]])
 
 
-@register("pearson_ci", f"WITH {D}, c AS (SELECT lang, corr(p, y) AS r, count(*) AS n FROM d GROUP BY lang HAVING count(*) > 3) SELECT lang, round(r, 6) AS r, round(tanh(atanh(r) - {Z} / sqrt(n - 3)), 6) AS lower, round(tanh(atanh(r) + {Z} / sqrt(n - 3)), 6) AS upper FROM c")
+@register("pearson_ci", f"WITH {D}, c AS (SELECT lang, CASE WHEN stddev_pop(p) * stddev_pop(y) > 0 THEN corr(p, y) END AS r, count(*) AS n FROM d GROUP BY lang HAVING count(*) > 3) SELECT lang, round(r, 6) AS r, round(tanh(atanh(r) - {Z} / sqrt(n - 3)), 6) AS lower, round(tanh(atanh(r) + {Z} / sqrt(n - 3)), 6) AS upper FROM c")
 def pearson_ci(spark, sf_dir):
     return V.pearson_ci(scored(spark, sf_dir), "p", "y", ["lang"]).select("lang", r("r").alias("r"), r("lower").alias("lower"), r("upper").alias("upper"))
