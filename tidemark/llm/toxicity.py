@@ -29,6 +29,8 @@ from .common import WORD_BYTES, bounded_batches, span_hashes, texts_of
 SAMPLE = 3000
 #: Bytes of a shared backoff context, and the discount.
 ORDER, DISCOUNT = 5, 0.75
+#: Words that are counted at once.
+BLOCK_WORDS = 1 << 15
 #: Longest beginning of a word that the class models tell apart.
 PREFIX = 24
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_words long, log_ratio double, strongest string"
@@ -106,21 +108,31 @@ def _at(s: Spans, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The models of words that occurred so often in toxic and ordinary documents."""
-    s = spans(words)
-    context, gram = _at(s, PREFIX)
-    own = []
-    for n in (toxic, ordinary):
-        there = np.flatnonzero(n[s.word] > 0)
-        own.append(Counts.of(context[there], gram[there], n[s.word][there], least=2))
-    # Continuation counts: a shorter gram counts once for each longer one that it ends, of both classes together.
-    shared, longer = [], gram
-    for k in range(ORDER, -1, -1):
-        context, gram = _at(s, k)
-        _, first = np.unique(longer, return_index=True)
-        shared.append(Counts.of(context[first], gram[first], np.ones(len(first))))
-        longer = gram
-    return Model((own[0], own[1]), tuple(shared))
+    """The models of distinct words that occurred so often in toxic and ordinary documents.
+
+    Words go through in sorted blocks, where their beginnings are counted once for all words that
+    share them, so what is held grows with the distinct beginnings.
+    """
+    order = sorted(range(len(words)), key=words.__getitem__)
+    own: list[tuple[np.ndarray, ...]] = []
+    backoff: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER + 1)]
+    for at in range(0, len(order), BLOCK_WORDS):
+        block = order[at : at + BLOCK_WORDS]
+        s = spans([words[i] for i in block])
+        context, gram = _at(s, PREFIX)
+        g, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        own.append((context[first], g, *(np.bincount(inverse, n[block][s.word], len(g)) for n in (toxic, ordinary))))
+        # Continuation counts: a gram of the backoff counts once for each beginning of a word that it ends, in either class.
+        kinds = s._replace(at=s.at[first], start=s.start[first])
+        for k in range(ORDER + 1):
+            context, gram = _at(kinds, k)
+            g, one, n = np.unique(gram, return_index=True, return_counts=True)
+            backoff[k].append((context[one], g, n))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    context, gram, t, o = (np.concatenate(p) for p in zip(*(own or [none]), strict=True))
+    classes = (Counts.of(context[n > 0], gram[n > 0], n[n > 0], least=2) for n in (t, o))
+    shared = (Counts.of(*(np.concatenate(p) for p in zip(*(b or [none[:3]]), strict=True))) for b in reversed(backoff))
+    return Model(tuple(classes), tuple(shared))
 
 
 def log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
