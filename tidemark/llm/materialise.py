@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,19 @@ WINDOW = 1024
 #: Sequences of a shard: files of 8 MB at a window of 1024.
 PER_SHARD = 4096
 ROUNDS = 4
+#: Staged ids are read twice at most, so they are packed densely.
+DENSE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+#: Staged sequences that are shared as a compression dictionary: 256 KB.
+DICTIONARY_ROWS = 128
 #: Id that fills the last sequence of a task, and the id after each document.
 PAD = END = 0
 SCHEMA = "slot long, sequence long, shard long, shard_offset long, n_tokens long, n_pad long, first_doc_id long, ids_crc32 long, path string"
 
 
+def _dictionary(words: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if words else None
+
+
 def feistel(x: np.ndarray, bits: int, key: int, inverse: bool = False) -> np.ndarray:
     """A keyed permutation of the numbers below 2 ** (2 * bits): ``ROUNDS`` rounds over two halves."""
     half, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
@@ -110,26 +119,32 @@ def write_shards(
     lost or repeated task leaves no partial shard; the index names the file that counts.
     """
     bounded_batches(df.sparkSession)
-    staged = materialize(tokenise(df, id_col, text_col, tokenizer or default_tokenizer(), window), "sequences")
+    staged = materialize(tokenise(df, id_col, text_col, tokenizer or default_tokenizer(), window), "sequences", **DENSE)
     # A row per task of the tokeniser: the number of its sequences.
     sizes = {r.part: r.n for r in staged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = np.array(sorted(sizes), dtype=np.int64)
     before = np.concatenate([[0], np.cumsum([sizes[p] for p in parts.tolist()])]).astype(np.int64)
     total = int(before[-1])
 
+    # Sequences travel compressed; a few of them are the dictionary that makes short records shrink.
+    words = b"".join(r.ids for r in staged.select("ids").limit(DICTIONARY_ROWS).collect())
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(words))
         for batch in batches:
             part, local = (batch.column(c).to_numpy() for c in ("part", "local"))
             sequence = before[np.searchsorted(parts, part)] + local
             slot = permute(sequence, total, key)
+            ids = pa.array([packer.compress(i) for i in batch.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot // per_shard), pa.array(slot), pa.array(sequence), *(batch.column(c) for c in ("n_tokens", "first_doc_id", "ids"))],
+                [pa.array(slot // per_shard), pa.array(slot), pa.array(sequence), *(batch.column(c) for c in ("n_tokens", "first_doc_id")), ids],
                 names=["shard", "slot", "sequence", "n_tokens", "first_doc_id", "ids"],
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(words))
         shard = out = None
         rows: list[tuple] = []
         name = ""
@@ -153,6 +168,7 @@ def write_shards(
                         yield close()
                     shard, name = s, f".shard-{s:08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
+                ids = unpacker.decompress(ids)
                 out.write(ids)
                 rows.append((slot, sequence, s, slot % per_shard * 2 * window, n, window - n, doc, zlib.crc32(ids)))
         if out is not None:
