@@ -29,6 +29,8 @@ from .common import WORD_BYTES, bounded_batches, span_hashes, texts_of
 SAMPLE = 3000
 #: Bytes of a shared backoff context, and the discount.
 ORDER, DISCOUNT = 5, 0.75
+#: Words whose ratios a task remembers.
+REMEMBERED = 1 << 18
 #: Words that are counted at once.
 BLOCK_WORDS = 1 << 15
 #: Longest beginning of a word that the class models tell apart.
@@ -152,14 +154,28 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def features(model: Model, texts: list[str]) -> tuple[np.ndarray, list[bytes | None]]:
+class Ratios:
+    """:func:`log_ratios` of one task, with the words of earlier batches remembered up to a bound."""
+
+    def __init__(self, model: Model, limit: int = REMEMBERED):
+        self.model, self.limit, self.known = model, limit, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.limit:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, log_ratios(self.model, new).tolist(), strict=True))
+        return np.fromiter((self.known[w] for w in words), float, len(words))
+
+
+def features(ratios: Ratios, texts: list[str]) -> tuple[np.ndarray, list[bytes | None]]:
     """Per text: number of words, mean ratio, and its strongest distinct words' ratios; and the strongest word."""
     known: dict[bytes, int] = {}
     rows = []
     for t in texts:
         rows.append(np.fromiter((known.setdefault(w, len(known)) for w in split(t)), np.int64))
     words = list(known)
-    ratio = log_ratios(model, words)
+    ratio = ratios(words)
     out, strongest = np.zeros((len(texts), N_FEATURES)), []
     for i, w in enumerate(rows):
         if not len(w):
@@ -265,11 +281,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     other = spark.sparkContext.broadcast((model((1,)), model((0,))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = [Ratios(m) for m in other.value]
         for batch in batches:
             toxic, half, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts_of(batch.column(2))
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
-                x, _ = features(other.value[h], [texts[i] for i in at.tolist()])
+                x, _ = features(ratios[h], [texts[i] for i in at.tolist()])
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[at]), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = learn.mapInArrow(run, "toxic int, x array<double>").toArrow()
@@ -295,8 +312,9 @@ def score(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, link = shared.value
+        ratios = Ratios(model)
         for batch in batches:
-            x, strongest = features(model, texts_of(batch.column(2)))
+            x, strongest = features(ratios, texts_of(batch.column(2)))
             p = link.score(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 0])).astype(np.int64)),
@@ -314,8 +332,9 @@ def keep_clean(df: DataFrame, classifier: Classifier, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, link = shared.value
+        ratios = Ratios(model)
         for batch in batches:
-            x, _ = features(model, texts_of(batch.column(at)))
+            x, _ = features(ratios, texts_of(batch.column(at)))
             yield batch.filter(pa.array(link.score(x) < threshold))
 
     return df.mapInArrow(run, df.schema)
