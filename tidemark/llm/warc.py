@@ -26,6 +26,8 @@ from .common import bounded_batches, materialize, new_path
 
 #: Payloads under this many bytes are never revisits.
 REVISIT_BYTES = 1000
+#: Digests that are checked.
+ALGORITHMS = {"md5", "sha1", "sha224", "sha256", "sha384", "sha512"}
 #: Bytes after which a writer starts its next file.
 FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -86,6 +88,25 @@ class Broken(ValueError):
     """A record that fails a check."""
 
 
+def declared(said: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of a digest header in hex, base32 or base64; None where there is none or its algorithm is unknown."""
+    name, colon, value = (said or "").partition(":")
+    name, bare = name.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if not colon or name not in ALGORITHMS:
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(bare) == 2 * size:
+            return name, bytes.fromhex(bare)
+        if len(bare) == -(-size * 8 // 5):
+            return name, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-size * 8 // 6):
+            return name, base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+    except ValueError:
+        pass
+    raise Broken("malformed digest")
+
+
 def parse(data: bytes, at: int, path: str, offset: int, keep_payload: bool) -> tuple[Row, int]:
     """The record whose version line is at ``at``, and the place after its end; raises :class:`Broken`."""
     if not re.compile(rb"WARC/\d\.\d\r\n").match(data, at):
@@ -98,27 +119,31 @@ def parse(data: bytes, at: int, path: str, offset: int, keep_payload: bool) -> t
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("malformed header")
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "surrogatepass")
+        try:
+            head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8")
+        except UnicodeDecodeError:
+            raise Broken("header is not UTF-8") from None
     length = head.get("content-length", "")
-    if not length.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", length):
         raise Broken("no content length")
     start = stop + 4
     end = start + int(length)
     block = data[start:end]
     if len(block) < int(length) or data[end : end + 4] != _END:
         raise Broken("length mismatch")
-    if "warc-block-digest" in head and _digest(block) != head["warc-block-digest"]:
+    stated = declared(head.get("warc-block-digest"))
+    if stated and hashlib.new(stated[0], block).digest() != stated[1]:
         raise Broken("block digest mismatch")
     kind, http, payload = head.get("warc-type"), b"", block
     if head.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(_END)
-    said, size = head.get("warc-payload-digest"), len(payload)
+    stated, size = declared(head.get("warc-payload-digest")), len(payload)
     if kind == "revisit":
         found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         size = int(found[1]) if found else None
-    elif said and _digest(payload) != said:
+    elif stated and hashlib.new(stated[0], payload).digest() != stated[1]:
         raise Broken("payload digest mismatch")
-    hexed = base64.b32decode(said.removeprefix("sha1:")).hex() if said else hashlib.sha1(payload).hexdigest()
+    hexed = stated[1].hex() if stated else hashlib.sha1(payload).hexdigest()
     bare = lambda k: head[k].strip("<>") if k in head else None
     row = Row(path, offset, end + 4 - at, "record", None, kind, bare("warc-record-id"), bare("warc-refers-to"),
               head.get("warc-target-uri"), size, hexed, payload if keep_payload and kind != "revisit" else None)
@@ -139,19 +164,36 @@ def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
     return b"".join(out), min(upto, len(data)) - len(unpack.unused_data)
 
 
+def parse_all(plain: bytes, path: str, offset: int, keep_payload: bool) -> tuple[list[Row], str | None]:
+    """The records of a gzip member's content, and why the first bytes that yield none do so."""
+    blank = re.compile(rb"\s*")
+    rows, why, at = [], None, 0
+    while at >= 0 and not blank.fullmatch(plain, at):
+        try:
+            row, at = parse(plain, at, path, offset, keep_payload)
+            rows.append(row)
+        except Broken as e:
+            why, at = why or str(e), plain.find(b"WARC/", at + 1)
+    return rows, why
+
+
 def salvage(data: bytes, path: str, keep_payload: bool = False) -> Iterator[Row]:
-    """All records of an archive in order, and a gap row for each run of bytes that yields none."""
+    """All records of an archive in order, and a gap row for each run of bytes that yields none.
+
+    Records of one gzip member share its offset and length; where a part of it yields none, a gap row of the same place follows them.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
             if data[at : at + 2] == b"\x1f\x8b":
                 plain, end = inflate(data, at)
-                row, used = parse(plain, 0, path, at, keep_payload)
-                if used != len(plain):
-                    raise Broken("bytes after the record")
-                row = row._replace(length=end - at)
+                rows, part = parse_all(plain, path, at, keep_payload)
+                if not rows:
+                    raise Broken(part or "empty gzip member")
+                rows = [row._replace(length=end - at) for row in rows] + ([Row(path, at, end - at, "gap", part)] if part else [])
             else:
                 row, end = parse(data, at, path, at, keep_payload)
+                rows = [row]
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -161,7 +203,7 @@ def salvage(data: bytes, path: str, keep_payload: bool = False) -> Iterator[Row]
         if bad is not None:
             yield Row(path, bad, at - bad, "gap", why)
             bad = None
-        yield row
+        yield from rows
         at = end
     if bad is not None:
         yield Row(path, bad, len(data) - bad, "gap", why)
@@ -264,6 +306,7 @@ def _batches(rows: Iterator[Row], size: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``df`` as archives in the shared folder and return what the reader finds, a row per record."""
+    """Write ``df`` as archives in the shared folder and return what the reader finds, a row per record; a gap is an error."""
     manifest = write_archives(df, new_path(df.sparkSession, "warc"), id_col, url_col, html_col)
-    return read_archives(manifest).where("kind = 'record'")
+    whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), "reason")).cast("boolean"))
+    return read_archives(manifest).where(whole)
