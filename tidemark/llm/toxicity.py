@@ -5,11 +5,12 @@ bytes: the distribution of the next byte after a word's whole beginning comes fr
 own counts, with absolute discounting, and backs off to counts that the classes share: continuation
 counts of up to ``ORDER`` bytes of both classes together.  So an expression that one class has
 hardly seen costs both about the same, and only what one class says more often speaks for it.
-A document's evidence is its length-normalised log-likelihood ratio, and how strong its strongest
-expressions are; a logistic link, fitted on ratios from models that have not seen the document,
-turns it into a score.
+A toxic document says toxic expressions now and then among ordinary ones: its likelihood
+interpolates the toxic class's with the ordinary one, with a weight of ``TOXIC_SHARE``.  A document's evidence is
+the logarithm of that likelihood over the ordinary one, divided by its number of words; the score is a logistic
+link that rises with it, fitted on ratios from models that have not seen the document.
 
-Models are fitted on a sample of the labelled rows that is bounded by ``SAMPLE`` documents a class
+Models are fitted on a sample of the labelled rows that is bounded by ``SAMPLE`` documents and ``SAMPLE_BYTES`` of text a class
 (all of them, where there are fewer), so their size is bounded; scoring is one pass over all rows.
 """
 
@@ -23,20 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bounded_batches, span_hashes, texts_of
+from .common import WORD_BYTES, bounded_batches, materialize, remove_tables, span_hashes, texts_of
 
 #: Labelled documents of each class that are learned from, at most (in expectation: chosen by hash).
 SAMPLE = 3000
+#: Bytes of those documents' texts of each class, at most; a text that would pass the bound is left out as a whole.
+SAMPLE_BYTES = 12 << 20
 #: Bytes of a shared backoff context, and the discount.
 ORDER, DISCOUNT = 5, 0.75
+#: Share of a toxic document's words that the toxic class says; the others come from the ordinary one.
+TOXIC_SHARE = 0.01
 #: Words whose ratios a task remembers.
 REMEMBERED = 1 << 18
 #: Words that are counted at once.
 BLOCK_WORDS = 1 << 15
-#: Longest beginning of a word that the class models tell apart.
-PREFIX = 24
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_words long, log_ratio double, strongest string"
-N_FEATURES = 6
 
 
 class Spans(NamedTuple):
@@ -76,15 +78,13 @@ class Counts(NamedTuple):
     contexts: Table
 
     @staticmethod
-    def of(context: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 1) -> Counts:
-        """Contexts that occur under ``least`` times are left to the backoff."""
+    def of(context: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Counts:
         g, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
         count = np.bincount(inverse, n, len(g))
         c, of = np.unique(context[first], return_inverse=True)
         total, kinds = np.bincount(of, count, len(c)), np.bincount(of, minlength=len(c))
-        keep, kept = total >= least, (total >= least)[of] if len(of) else np.zeros(0, bool)
         f = np.float32
-        return Counts(Table(g[kept], (count[kept].astype(f),)), Table(c[keep], (total[keep].astype(f), kinds[keep].astype(f))))
+        return Counts(Table(g, (count.astype(f),)), Table(c, (total.astype(f), kinds.astype(f))))
 
     def smooth(self, context: np.ndarray, gram: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Discounted probabilities of the grams' last bytes, interpolated with those ``below``; unseen contexts leave them."""
@@ -103,9 +103,9 @@ class Model(NamedTuple):
     shared: tuple[Counts, ...]
 
 
-def _at(s: Spans, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each place's last ``k`` bytes inside its word, and of the same with the predicted byte."""
-    begin = np.maximum(s.at - k, s.start)
+def _at(s: Spans, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each place's last ``k`` bytes inside its word (its whole beginning), and of the same with the predicted byte."""
+    begin = s.start if k is None else np.maximum(s.at - k, s.start)
     return span_hashes(s.data, begin, s.at), span_hashes(s.data, begin, s.at + 1)
 
 
@@ -121,7 +121,7 @@ def fit(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     for at in range(0, len(order), BLOCK_WORDS):
         block = order[at : at + BLOCK_WORDS]
         s = spans([words[i] for i in block])
-        context, gram = _at(s, PREFIX)
+        context, gram = _at(s)
         g, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
         own.append((context[first], g, *(np.bincount(inverse, n[block][s.word], len(g)) for n in (toxic, ordinary))))
         # Continuation counts: a gram of the backoff counts once for each beginning of a word that it ends, in either class.
@@ -132,22 +132,22 @@ def fit(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
             backoff[k].append((context[one], g, n))
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     context, gram, t, o = (np.concatenate(p) for p in zip(*(own or [none]), strict=True))
-    classes = (Counts.of(context[n > 0], gram[n > 0], n[n > 0], least=2) for n in (t, o))
+    classes = (Counts.of(context[n > 0], gram[n > 0], n[n > 0]) for n in (t, o))
     shared = (Counts.of(*(np.concatenate(p) for p in zip(*(b or [none[:3]]), strict=True))) for b in reversed(backoff))
     return Model(tuple(classes), tuple(shared))
 
 
 def log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
-    """Each word's toxic log-likelihood less its ordinary one."""
+    """Each word's log-likelihood in a toxic document less that in an ordinary one."""
     if not words:
         return np.zeros(0)
     s = spans(words)
     p = np.full(len(s.at), 1 / 257)
     for k, counts in enumerate(reversed(model.shared)):
         p = counts.smooth(*_at(s, k), p)
-    whole = _at(s, PREFIX)
+    whole = _at(s)
     toxic, ordinary = (np.bincount(s.word, np.log(c.smooth(*whole, p)), len(words)) for c in model.own)
-    return toxic - ordinary
+    return np.logaddexp(np.log1p(-TOXIC_SHARE), np.log(TOXIC_SHARE) + toxic - ordinary)
 
 
 def split(text: str) -> list[bytes]:
@@ -168,53 +168,46 @@ class Ratios:
         return np.fromiter((self.known[w] for w in words), float, len(words))
 
 
-def features(ratios: Ratios, texts: list[str]) -> tuple[np.ndarray, list[bytes | None]]:
-    """Per text: number of words, mean ratio, and its strongest distinct words' ratios; and the strongest word."""
+def evidence(ratios: Ratios, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Per text: number of words, log-likelihood ratio a word (0 without words), and the word that speaks most for toxic."""
     known: dict[bytes, int] = {}
-    rows = []
-    for t in texts:
-        rows.append(np.fromiter((known.setdefault(w, len(known)) for w in split(t)), np.int64))
+    rows = [np.fromiter((known.setdefault(w, len(known)) for w in split(t)), np.int64) for t in texts]
     words = list(known)
     ratio = ratios(words)
-    out, strongest = np.zeros((len(texts), N_FEATURES)), []
-    for i, w in enumerate(rows):
-        if not len(w):
-            strongest.append(None)
-            continue
-        r = ratio[w]
-        u = np.unique(w)
-        best = np.sort(ratio[u])[::-1][:3]
-        strongest.append(words[u[np.argmax(ratio[u])]])
-        top = np.zeros(3)
-        top[: len(best)] = np.maximum(best, 0)
-        out[i] = (np.log1p(len(w)), r.mean(), np.maximum(r - 1, 0).sum() / len(w) ** 0.5, *top)
-    return out, strongest
+    mean = np.array([ratio[w].mean() if len(w) else 0.0 for w in rows])
+    strongest = [words[w[np.argmax(ratio[w])]] if len(w) else None for w in rows]
+    return np.array([len(w) for w in rows], np.int64), mean, strongest
 
 
 class Link(NamedTuple):
-    """A logistic link over standardised features."""
+    """A logistic link that rises with the ratio a word."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weight: np.ndarray
+    weight: float
+    bias: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weight
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    @staticmethod
+    def scaled(mean: np.ndarray) -> np.ndarray:
+        """From 0, at the least ratio a word, in steps of the logarithm."""
+        return np.log1p(np.maximum(mean - np.log1p(-TOXIC_SHARE), 0) / TOXIC_SHARE)
+
+    def score(self, mean: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weight * self.scaled(mean) + self.bias, -35, 35)))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> Link:
-    """Ridge logistic regression by Newton steps; the rows' weights restore the classes' shares."""
-    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
-    a = np.c_[(x - mean) / scale, np.ones(len(x))]
-    beta, pen = np.zeros(a.shape[1]), ridge * np.r_[np.ones(a.shape[1] - 1), 1e-3]
-    for _ in range(40):
+def fit_link(mean: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> Link:
+    """Logistic regression by Newton steps; the rows' weights restore the classes' shares; the weight never falls under 0."""
+    a, pen = np.c_[Link.scaled(mean), np.ones(len(mean))], ridge * np.ones(2)
+    beta = np.zeros(2)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -35, 35)))
         step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(pen), a.T @ (w * (y - p)) - pen * beta)
-        beta += step
+        beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return Link(mean, scale, beta)
+    if beta[0] >= 0:
+        return Link(float(beta[0]), float(beta[1]))
+    rate = np.clip(np.average(y, weights=w), 0.01, 0.99)
+    return Link(0.0, float(np.log(rate / (1 - rate))))
 
 
 def held_out(id_col: str, folds: int = 5):
@@ -246,10 +239,15 @@ class Classifier(NamedTuple):
     link: Link
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Classifier:
+def train(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+) -> Classifier:
     """Fit on the labelled rows outside the held-out fold; of a document's several labels the highest counts.
 
-    Without rows of both classes the score is the share of toxic rows, or 0.5 without any.
+    Without rows of both classes the score is the share of toxic rows, or 0.5 without any (an empty
+    table).  Labels that are null or not 0 or 1, and null ids, are not learned from; a null text has no words;
+    documents that repeat an id are learned from each; other columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -261,8 +259,17 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = own.where(place < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     kept = kept.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    # At most about 2 * sample rows of two numbers.
-    learn = docs.join(F.broadcast(kept), "doc_id").select("toxic", "half", "text")
+    drawn = materialize(docs.join(F.broadcast(kept), "doc_id"), "sample")
+    # About 2 * sample rows of numbers, in an order that no text decides.
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")
+    found = drawn.groupBy("doc_id", "toxic", "half").agg(size).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    used, chosen = {0: 0, 1: 0}, []
+    for i, c, n in zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "size")), strict=True):
+        if used[c] + n <= sample_bytes:
+            used[c] += n
+            chosen.append((i,))
+    within = spark.createDataFrame(chosen, drawn.select("doc_id").schema)
+    learn = drawn.join(F.broadcast(within), "doc_id").select("toxic", "half", "text")
     counts = word_counts(learn).toArrow()
     words = counts.column("word").combine_chunks().dictionary_encode()
     if counts.num_rows and isinstance(words, pa.ChunkedArray):
@@ -286,18 +293,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             toxic, half, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts_of(batch.column(2))
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
-                x, _ = features(ratios[h], [texts[i] for i in at.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[at]), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
+                _, mean, _ = evidence(ratios[h], [texts[i] for i in at.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[at]), pa.array(mean)], names=["toxic", "x"])
 
-    rows = learn.mapInArrow(run, "toxic int, x array<double>").toArrow()
+    rows = learn.mapInArrow(run, "toxic int, x double").toArrow()
     other.destroy()
-    y = rows.column("toxic").to_numpy().astype(float)
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES)
+    remove_tables(drawn)
+    y, x = rows.column("toxic").to_numpy().astype(float), rows.column("x").to_numpy()
     if len(set(y.tolist())) < 2:
         rate = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        link = Link(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.r_[np.zeros(N_FEATURES), np.log(rate / (1 - rate))])
+        link = Link(0.0, float(np.log(rate / (1 - rate))))
     else:
-        link = fit_link(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]) * min(share.values()))
+        # A row stands for as many as its class has, over those that were learned from.
+        link = fit_link(x, y, np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (len(y) - y.sum())) * len(y) / (sizes[0] + sizes[1]))
     return Classifier(model((0, 1)), link)
 
 
@@ -305,7 +313,8 @@ def score(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_co
     """One row per row of ``df``: score (0 to 1), decision at 0.5, and the evidence.
 
     A null or wordless text scores as one without evidence; repeated rows are scored each; a null
-    id is held out and returned as null; no column but the text enters the score.
+    id is held out and returned as null; an empty table gives no rows; a very long text is one row's work and held whole;
+    no column but the text enters the score, and columns of any other name are not read.
     """
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(classifier)
@@ -314,11 +323,11 @@ def score(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_co
         model, link = shared.value
         ratios = Ratios(model)
         for batch in batches:
-            x, strongest = features(ratios, texts_of(batch.column(2)))
-            p = link.score(x)
+            n, mean, strongest = evidence(ratios, texts_of(batch.column(2)))
+            p = link.score(mean)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 0])).astype(np.int64)),
-                 pa.array(x[:, 1]), pa.array([None if w is None else w.decode("utf-8", "replace") for w in strongest], pa.string())],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(n),
+                 pa.array(mean), pa.array([None if w is None else w.decode("utf-8", "replace") for w in strongest], pa.string())],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
@@ -327,14 +336,18 @@ def score(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_co
 
 
 def keep_clean(df: DataFrame, classifier: Classifier, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score under the threshold, columns unchanged."""
+    """The rows of ``df`` that score under the threshold, columns unchanged.
+
+    A null or wordless text scores as one without evidence; repeated rows stay or go each alike;
+    an empty table stays empty.
+    """
     shared, at = df.sparkSession.sparkContext.broadcast(classifier), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, link = shared.value
         ratios = Ratios(model)
         for batch in batches:
-            x, _ = features(ratios, texts_of(batch.column(at)))
-            yield batch.filter(pa.array(link.score(x) < threshold))
+            _, mean, _ = evidence(ratios, texts_of(batch.column(at)))
+            yield batch.filter(pa.array(link.score(mean) < threshold))
 
     return df.mapInArrow(run, df.schema)
