@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 #: Largest Arrow batch handed to Python; long texts then never pile up in one batch.
 BATCH_BYTES = 4 << 20
@@ -23,10 +24,13 @@ _S = np.uint64(33)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and remembered.
+    Only where the setting is absent and all runs in one process (tests, a laptop) a local folder
+    is made and remembered; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -59,6 +63,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def whole_numbers(df: DataFrame, *columns: str) -> None:
+    """Refuse ids that aren't whole numbers before any task runs."""
+    for c in columns:
+        kind = df.schema[c].dataType
+        if not isinstance(kind, IntegralType):
+            raise TypeError(f"column {c} must hold whole numbers, not {kind.simpleString()}")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null is empty."""
     return [t or "" for t in column.to_pylist()]

@@ -3,9 +3,10 @@
 Documents are tokenised once into sequences of ``window`` ids, staged in the shared folder and
 numbered densely.  A keyed Feistel permutation with cycle-walking maps number to slot, so the
 order is random, needs no sort by random keys and can be computed for any slot alone.  Sequences
-are dealt to shards by slot range, and a shard is a file of ``per_shard`` records of ``2 *
-window`` bytes: slot s is at byte ``(s % per_shard) * 2 * window`` of shard ``s // per_shard``,
-which is all that a reader needs to start or resume.
+are dealt to shards by slot range, and a shard is a file of ``per_shard`` records of ``width *
+window`` bytes, an id being ``width`` bytes (2 if the vocabulary allows, else 4): slot s is at byte
+``(s % per_shard) * width * window`` of shard ``s // per_shard``, which is all that a reader needs
+to start or resume.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, mix, new_path, remove_tables, texts_of
+from .common import bounded_batches, materialize, mix, new_path, remove_tables, texts_of, whole_numbers
 from .packing import default_tokenizer, encoder
 
 WINDOW = 1024
@@ -64,8 +65,14 @@ def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out.astype(np.int64)
 
 
+def id_width(tokenizer: str) -> int:
+    """Bytes of an id: 2 where the vocabulary allows, else 4."""
+    return 2 if encoder(tokenizer).most <= 0xFFFF else 4
+
+
 def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int) -> DataFrame:
     """(part, local, n_tokens, first_doc_id, ids): each task's documents end to end, cut into windows."""
+    cell = f"<u{id_width(tokenizer)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -73,11 +80,11 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window:
 
         def emit(last: bool) -> pa.RecordBatch:
             nonlocal held, owners, size, local
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            ids = np.concatenate(held) if held else np.zeros(0, cell)
             starts = np.cumsum([0, *map(len, held)])
             n = -(-len(ids) // window) if last else len(ids) // window
             used = min(len(ids), n * window)
-            cells = np.full(n * window, PAD, dtype="<u2")
+            cells = np.full(n * window, PAD, dtype=cell)
             cells[:used] = ids[:used]
             at = np.searchsorted(starts, np.arange(n) * window, side="right") - 1
             first = [owners[i] for i in at.tolist()]
@@ -93,10 +100,7 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = encode(text)
-                if len(ids) and int(ids.max()) > 0xFFFF:
-                    raise ValueError("token ids over 65,535 don't fit the 16-bit shards")
-                held.append(np.append(ids, END).astype("<u2"))
+                held.append(np.append(encode(text), END).astype(cell))
                 owners.append(doc)
                 size += len(held[-1])
                 if size >= 512 * window:
@@ -114,12 +118,16 @@ def write_shards(
     """Write the shards and return their index, a row per sequence: slot, shard, byte offset, checksum, file.
 
     A null or empty text is the end id alone; a null id is kept as null; repeated rows are written
-    each; an empty table gives no shards; other columns are not read.  Each task pads its last
+    each; an empty table gives no shards; other columns are not read; a very long text is held by one
+    task and cut into sequences; ids must be integers.  Each task pads its last
     sequence.  A shard is written under a name of its own and moved into place when whole, so a
     lost or repeated task leaves no partial shard; the index names the file that counts.
     """
     bounded_batches(df.sparkSession)
-    staged = materialize(tokenise(df, id_col, text_col, tokenizer or default_tokenizer(), window), "sequences", **DENSE)
+    whole_numbers(df, id_col)
+    tokenizer = tokenizer or default_tokenizer()
+    stride = id_width(tokenizer) * window
+    staged = materialize(tokenise(df, id_col, text_col, tokenizer, window), "sequences", **DENSE)
     # A row per task of the tokeniser: the number of its sequences.
     sizes = {r.part: r.n for r in staged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = np.array(sorted(sizes), dtype=np.int64)
@@ -170,20 +178,22 @@ def write_shards(
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 ids = unpacker.decompress(ids)
                 out.write(ids)
-                rows.append((slot, sequence, s, slot % per_shard * 2 * window, n, window - n, doc, zlib.crc32(ids)))
+                rows.append((slot, sequence, s, slot % per_shard * stride, n, window - n, doc, zlib.crc32(ids)))
         if out is not None:
             yield close()
 
     shards = max(1, -(-total // per_shard))
     slots = staged.mapInArrow(number, "shard long, slot long, sequence long, n_tokens long, first_doc_id long, ids binary")
-    dealt = slots.repartitionByRange(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "slot")
+    # The shard is the partition (or shares one, in very large outputs): no sampling, no second pass over the sequences.
+    tasks = min(shards, 1 << 15)
+    dealt = slots.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "slot")
     index = materialize(dealt.mapInArrow(write, SCHEMA), "index")
     remove_tables(staged)
     return index
 
 
-def read_slots(index: DataFrame, first: int = 0, last: int | None = None, window: int = WINDOW) -> DataFrame:
-    """(slot, ids) of a range of slots, each shard's run read with one seek: how a run resumes."""
+def read_slots(index: DataFrame, first: int = 0, last: int | None = None, window: int = WINDOW, width: int = 2) -> DataFrame:
+    """(slot, ids) of a range of slots, each shard's run read with one seek: how a run resumes; ``width`` as :func:`id_width` says."""
     wanted = index.where((F.col("slot") >= first) & (F.lit(last is None) | (F.col("slot") < F.lit(last))))
     runs = wanted.groupBy("path").agg(F.min("slot").alias("slot"), F.min("shard_offset").alias("at"), F.count(F.lit(1)).alias("n"))
 
@@ -193,12 +203,12 @@ def read_slots(index: DataFrame, first: int = 0, last: int | None = None, window
                 store, place = pafs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as f:
                     f.seek(at)
-                    cells = np.frombuffer(f.read(n * 2 * window), dtype="<u2").reshape(n, window)
+                    cells = np.frombuffer(f.read(n * width * window), dtype=f"<u{width}").reshape(n, window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(slot, slot + n)), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], names=["slot", "ids"]
+                    [pa.array(np.arange(slot, slot + n)), pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64()))], names=["slot", "ids"]
                 )
 
-    return runs.mapInArrow(run, "slot long, ids array<int>")
+    return runs.mapInArrow(run, "slot long, ids array<long>")
 
 
 def materialise(spark: SparkSession, df: DataFrame, **options) -> DataFrame:

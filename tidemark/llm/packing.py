@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, texts_of, whole_numbers
 
 WINDOW = 1024
 TIERS = (128, 256, 512, 1024)
@@ -41,13 +43,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: White space as the tokeniser's pattern has it, and the length from which a run of it is set apart.
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK_RUN = 10_000
+
+
 @functools.lru_cache(2)
-def encoder(path: str):
+def encoder(path: str, blank_run: int = BLANK_RUN):
     """text -> uint32 ids of the byte-level BPE in the tokenizers file at ``path``.
 
     The file's vocabulary is read as merge ranks (its ids are in merge order), which gives the
-    ids of the tokenizers library at several times its speed; tests compare the two.  Strings of
-    special tokens inside a text are ordinary text.
+    ids of the tokenizers library at several times its speed; tests compare the two.  The file's
+    added tokens are cut out of a text first and are their own ids.  The pattern's search would
+    overflow its stack on very long white space: of a run of ``blank_run`` or more all but the
+    last character (at a text's end: all) are one piece by the pattern, and are merged as one.
     """
     import public_tokenizers
     import tiktoken
@@ -57,10 +66,33 @@ def encoder(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    if any(t.get(f) for t in added for f in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(enc.encode_ordinary(text), dtype=np.uint32)
+    by_pattern, whole = (tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, "(?s).+"))
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    blanks = re.compile(f"{_BLANK}{{{blank_run},}}")
+
+    def plain(text: str) -> list[int]:
+        if len(text) < blank_run:
+            return by_pattern.encode_ordinary(text)
+        out, at = [], 0
+        for m in blanks.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += by_pattern.encode_ordinary(text[at : m.start()]) + whole.encode_ordinary(text[m.start() : end])
+            at = end
+        return out + by_pattern.encode_ordinary(text[at:])
+
+    def encode(text: str) -> np.ndarray:
+        if cut is None or not any(t in text for t in special):
+            return np.asarray(plain(text), dtype=np.uint32)
+        parts = (([special[p]] if p in special else plain(p)) for p in cut.split(text))
+        return np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
+
+    encode.most = max([*ranks.values(), *special.values()], default=0)
+    return encode
 
 
 class _Packer:
@@ -154,11 +186,13 @@ def pack(
 
     A document is its token ids and then id 0; a null or empty text is id 0 alone.  A null id
     stays null, repeated rows are packed each for itself, an empty table gives no rows, and other
-    columns of ``df`` are neither read nor returned.  ``tier`` is the window's size and
-    ``step_group`` the training step that it is dealt to.
+    columns of ``df`` are neither read nor returned; a very long text is cut into whole windows at once.
+    ``tier`` is the window's size and ``step_group`` the training step that it is dealt to; groups are
+    balanced among the windows of one pool of a task.  Ids must be integers.
     """
     path = tokenizer or default_tokenizer()
     bounded_batches(df.sparkSession)
+    whole_numbers(df, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
