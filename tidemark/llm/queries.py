@@ -16,7 +16,7 @@ from .simhash import near_duplicates
 from .sketches import next_likeness
 from .tiling import leaks
 from .toxicity import score, train
-from .urls import HOST_RULES, PATTERN_RULES, Pattern, judge
+from .urls import judge
 from .warc import round_trip
 
 
@@ -30,21 +30,40 @@ FROM p LEFT JOIN g ON g.html = p.html
 """
 
 
-def op7_sql() -> str:
-    """The same rules in SQL: each host rule as a condition, and the pattern rules' expressions over lower-cased URLs."""
-    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-    longest = sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1]))
-    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
-    verdict = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in longest)
-    patterns = sorted((Pattern(r) for r in PATTERN_RULES), key=lambda p: p.verdict)
-    case = " ".join(f"WHEN regexp_matches(low, '{p.source}') THEN '{p.rule}'" for p in patterns)
-    blocks = ", ".join(f"'{p.rule}'" for p in patterns if p.verdict == "block")
-    return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos FROM pages),
-r AS (SELECT page_id, lower(url) AS low, CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
-h AS (SELECT page_id, low, lower(regexp_extract(rest, '^[^/]*')) AS host, regexp_extract(rest, '/.*$') AS path FROM r),
-j AS (SELECT *, CASE {rule} END AS rule, CASE {case} END AS hit FROM h)
-SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN hit IN ({blocks}) THEN 'block' ELSE 'allow' END END AS verdict,
+#: Host and pattern rules written out by hand, not taken from the operator.
+OP7_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(url, '') AS url,
+    instr(coalesce(url, ''), '://') AS pos
+  FROM pages
+), r AS (
+  SELECT page_id, low, CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^?#]*') ELSE '' END AS rest,
+    CASE WHEN pos > 0 THEN substr(low, pos + 3) END AS tail
+  FROM u
+), h AS (
+  SELECT page_id, low, tail, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '/.*$') AS path
+  FROM r
+), j AS (
+  SELECT *,
+    CASE WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+      WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+      WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+      WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule,
+    CASE WHEN regexp_matches(tail, '^([^/?#]*\.)?www\.') THEN '@@||www.'
+      WHEN regexp_matches(low, '[^a-z0-9.%_-]page=2([^a-z0-9.%_-]|$)') THEN '@@^page=2^'
+      WHEN regexp_matches(tail, '^([^/?#]*\.)?blog\.') THEN '||blog.'
+      WHEN regexp_matches(low, '[^a-z0-9.%_-]utm_source=feed([^a-z0-9.%_-]|$)') THEN '^utm_source=feed^'
+      WHEN regexp_matches(tail, '^([^/?#]*\.)?m\..*/de/') THEN '||m.*/de/'
+      WHEN regexp_matches(tail, '^([^/?#]*\.)?ads\.') THEN '||ads.'
+      WHEN regexp_matches(low, '[^a-z0-9.%_-]track([^a-z0-9.%_-]|$)') THEN '^track^'
+      WHEN regexp_matches(low, '[^a-z0-9.%_-]sponsored([^a-z0-9.%_-]|$)') THEN '^sponsored^' END AS hit
+  FROM h
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN hit IS NULL OR hit LIKE '@@%' THEN 'allow' ELSE 'block' END AS verdict,
   CASE WHEN rule IS NULL THEN hit END AS pattern
 FROM j
 """
@@ -107,5 +126,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op9_warc": OP9_SQL, "op7_urls": op7_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op9_warc": OP9_SQL, "op7_urls": OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}

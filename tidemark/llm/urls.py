@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_numbers
+
 #: (host, path, verdict): fixed values of the host rules.
 HOST_RULES = (
     ("com", "/", "allow"),
@@ -59,13 +61,14 @@ class Pattern:
 
     def __init__(self, rule: str):
         self.rule, self.verdict = rule, "allow" if rule.startswith("@@") else "block"
-        body = rule.removeprefix("@@").lower()
+        body = lower_ascii(rule.removeprefix("@@"))
         anchored = body.startswith("||")
         body = body.removeprefix("||")
         parts = {"*": ".*", "^": _SEP}
         source = "".join(parts.get(c) or re.escape(c) for c in body)
-        self.source = (r"://(?:[^/?#]*\.)?" if anchored else "") + source
-        self.regex = re.compile(self.source)
+        # A host anchor belongs to the first "://" of the URL, not to one inside its query.
+        self.regex = re.compile((r"(?s:(?:(?!://).)*)://(?:[^/?#]*\.)?" if anchored else "") + source)
+        self.find = self.regex.match if anchored else self.regex.search
         self.tokens = {
             m[0] for m in _TOKEN.finditer(body)
             if (m.start() or anchored) and m.end() < len(body) and body[m.start() - 1 : m.start()] != "*" and body[m.end()] != "*"
@@ -75,8 +78,10 @@ class Pattern:
 def token_counts(df: DataFrame, url_col: str, tokens: Iterable[str]) -> dict[str, int]:
     """How many URLs hold each of the rules' tokens, over all rows: at most one count a token."""
     wanted = sorted(set(tokens))
-    found = df.select(F.explode(F.array_intersect(F.split(F.lower(df[url_col]), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in wanted]))).alias("token"))
-    return dict.fromkeys(wanted, 0) | {r.token: r.n for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # As many rows as the rules have tokens; the rules themselves are in each task's closure.
+    rules = F.broadcast(df.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))
+    own = df.select(F.explode(F.array_distinct(F.split(F.lower(df[url_col]), "[^a-z0-9]+"))).alias("token")).join(rules, "token")
+    return dict.fromkeys(wanted, 0) | {r.token: r.n for r in own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def rarest_index(patterns: list[Pattern], counts: dict[str, int]) -> dict[str, list[int]]:
@@ -95,8 +100,10 @@ def judge(
 
     The longest host rule that fits gives rule and verdict; else the pattern rules do, exceptions
     first, then blocks, then ``default``.  A null URL or one without ``://`` has an empty host and
-    path, and no host rule.  Only the id and URL columns are read.
+    path, and no host rule; a null id is kept, repeated rows are judged each, an empty table gives
+    no rows, and a very long URL is searched whole.  Only the id and URL columns are read.
     """
+    whole_numbers(df, id_col)
     patterns = [Pattern(r) for r in pattern_rules]
     tokens = {t for p in patterns for t in p.tokens}
     index = rarest_index(patterns, token_counts(df, url_col, tokens) if tokens else {})
@@ -111,9 +118,9 @@ def judge(
         if fits:
             _, _, rule, verdict = max(fits)
             return host, path, rule, verdict, None, 0
-        low = (url or "").lower()
+        low = lower_ascii(url or "")
         tried = sorted({i for t in {*_TOKEN.findall(low), ""} for i in index.get(t, ())}, key=lambda i: (patterns[i].verdict, i))
-        hit = next((patterns[i] for i in tried if patterns[i].regex.search(low)), None)
+        hit = next((patterns[i] for i in tried if patterns[i].find(low)), None)
         return host, path, None, hit.verdict if hit else default, hit.rule if hit else None, len(tried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
