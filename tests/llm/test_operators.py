@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, and its defined results for odd rows."""
 
+import functools
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -428,3 +430,191 @@ def test_packing_covers_every_token(edge, edge_rows, empty):
     assert odd <= edge.rdd.getNumPartitions()
     assert packing.pack(empty).collect() == []
     assert SCHEMA.startswith("doc_id")
+
+
+# --- brute force beyond the edges
+
+
+def greedy_tiles(a, b, shortest):
+    """The longest common free run again and again, ties by the first place in a, then in b."""
+    fa, fb, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and fa[i + k] and fb[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                if k >= shortest and (best is None or k > best[0]):
+                    best = (k, i, j)
+        if best is None:
+            return out
+        out.append(best)
+        for k in range(best[0]):
+            fa[best[1] + k] = fb[best[2] + k] = False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=14), st.lists(st.integers(1, 4), max_size=40), st.integers(1, 3))
+def test_tiles_are_exactly_the_greedy_ones(a, b, shortest):
+    got = tiling.tile(np.array(a, np.uint64), np.array(b, np.uint64), shortest)
+    assert [tuple(map(int, t)) for t in got] == greedy_tiles(a, b, shortest)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=9), min_size=1, max_size=3), st.lists(st.integers(1, 4), max_size=30))
+def test_leaks_equal_tiling_of_whole_texts(items, doc):
+    block = tiling.Block([(n, " ".join(f"w{x}" for x in i)) for n, i in enumerate(items)], 3)
+    got = {d[1]: d[3][:2] for d in tiling._hits([" ".join(f"w{x}" for x in doc)], block, 0.7)}
+    want = {}
+    for n, item in enumerate(items):
+        tiles = greedy_tiles(item, doc, min(3, len(item)))
+        if sum(t[0] for t in tiles) >= 0.7 * len(item):
+            want[n] = (sum(t[0] for t in tiles), len(tiles))
+    assert got == want
+
+
+def test_repetitive_texts_are_tiled_quickly():
+    began = time.perf_counter()
+    tiles = tiling.tile(np.array([1, 2] * 800, np.uint64), np.array([1, 2, 1] * 20_000, np.uint64), 4)
+    assert time.perf_counter() - began < 5
+    assert tiles == []
+    assert sum(t[0] for t in tiling.tile(np.array([1, 2] * 800, np.uint64), np.array(([1, 2] * 5 + [9]) * 4000, np.uint64), 4)) == 1600
+    assert time.perf_counter() - began < 10
+
+
+BASE_SCAN = [("cc", "by"), ("general", "public", "license"), ("all", "rights", "reserved")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["CC", "by", " ", "-", "\n", "general", "Public", "license", "all", "rights", "reserved", "é", "x", ".", "9", "\x7f", "ß"]), max_size=40))
+def test_base_phrases_against_brute_force(parts):
+    text = "".join(parts)
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    starts = [(i, p) for p in BASE_SCAN for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+    phrases = tuple((p, label, "base") for p, label in licenses.BASE_PHRASES.items()) + tuple((p, label, "notice") for p, label in licenses.NOTICE_PHRASES.items())
+    got = licenses.scan_text(text, (*phrases, (licenses.TAG, "", "tag")))
+    label = {"cc": "cc-by", "general": "gpl", "all": "reserved"}
+    places = [i for i, _ in starts]
+    assert got[:5] == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted({label[p[0]] for _, p in starts})))
+    assert set(got[4].split(",")) <= set(got[5].split(","))
+    assert 0 <= got[6] <= 1
+
+
+def test_words_that_are_no_licence_after_a_tag():
+    assert licenses.expression("see file") is None
+    assert licenses.expression("MIT see file")[1] == ["mit"]
+    assert licenses.expression("LicenseRef-Own AND GPL-2.0+")[1] == ["licenseref-own", "gpl-2.0+"]
+    assert licenses.expression("(MIT")is None and licenses.expression("MIT)")[0] == "mit" and licenses.expression("((MIT) OR (ISC))")[0] == "mit isc or"
+
+
+def test_long_expressions_take_time_in_proportion():
+    began = time.perf_counter()
+    form, names, free = licenses.expression(" AND ".join(["(MIT OR GPL-2.0)"] * 60_000))
+    assert (len(names), free) == (120_000, True)
+    assert licenses.expression("(" * 200_000 + "MIT") is None
+    assert time.perf_counter() - began < 10
+
+
+def test_host_anchors_belong_to_the_host(spark):
+    given_ = ["http://x.org/?u=http://ads.evil.org/", "http://ads.evil.org/?u=http://x.org/", "x?u=http://blog.a.org", "http://x.org/http://www.a.org/track/", "http://x.org/" + "a" * 100_000 + "/track/"]
+    df = spark.createDataFrame(list(enumerate(given_)), "page_id long, url string")
+    got = {r.page_id: r.pattern for r in urls.judge(df).collect()}
+    assert got == {0: None, 1: "||ads.", 2: "||blog.", 3: "^track^", 4: "^track^"}
+
+
+def test_ten_thousand_rules_are_fetched_by_their_rarest_token(spark):
+    rules = [f"^common^rare{i}^" for i in range(9_998)] + ["||ads.", "^common^"]
+    given_ = [f"http://x.org/common/rare{i * 37}/" for i in range(200)] + ["http://ads.x.org/", "http://x.org/common", "http://x.org/none"]
+    df = spark.createDataFrame(list(enumerate(given_)), "page_id long, url string")
+    got = urls.judge(df, pattern_rules=rules).collect()
+    assert max(r.candidates for r in got) <= 2
+    for r in got:
+        low = given_[r.page_id]
+        want = next((p for p in rules if urls.Pattern(p).find(low)), None) if r.page_id % 40 == 0 or r.page_id >= 200 else r.pattern
+        assert r.pattern == want
+
+
+@pytest.mark.parametrize("blank_run", [4, packing.BLANK_RUN])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "\x1c", "\x85", " ", "\xa0", "ab", "B'll", "7", ".", "é", "<|endoftext|>", "<|endof", "東", "​", "\r\n", "     ", "\n\n\n\n"]), max_size=20))
+def test_ids_equal_the_tokenizers_library(blank_run, parts):
+    text = "".join(parts)
+    assert packing.encoder(packing.default_tokenizer(), blank_run)(text).tolist() == reference_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@functools.lru_cache(1)
+def reference_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.default_tokenizer())
+
+
+def test_odd_long_texts_are_packed_and_materialised_whole(spark, tmp_path):
+    texts = ["\n" * 5_000_000, " " * 1_500_000 + "x", "a<|endoftext|>b", "<|endoftext|>" * 300, prose(11, 40_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    encode = packing.encoder(packing.default_tokenizer())
+    ids = {i: np.append(encode(t), 0).astype("<u4") for i, t in enumerate(texts)}
+    assert ids[2].tolist()[1:-2].count(50256) == 1 and (ids[3][:-1] == 50256).all()
+    by = defaultdict(list)
+    for r in packing.pack(df).collect():
+        by[r.doc_id].append(r)
+    for i, own in ids.items():
+        at = 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(own)
+    index = materialise.write_shards(df, f"file://{tmp_path}/shards").collect()
+    assert sum(r.n_tokens for r in index) == sum(map(len, ids.values()))
+
+
+def test_string_ids_are_refused_before_any_task(spark):
+    df = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    for f in (packing.pack, licenses.scan, lambda d: materialise.write_shards(d, "file:///nowhere")):
+        with pytest.raises(TypeError):
+            f(df)
+
+
+def test_kneser_ney_ratios_against_plain_counts():
+    toxic, ordinary = {b"scum": 3, b"scab": 1, b"day": 2}, {b"day": 9, b"dab": 1, b"cab": 4}
+    words_ = sorted({*toxic, *ordinary})
+    model = toxicity.fit(words_, np.array([toxic.get(w, 0) for w in words_], float), np.array([ordinary.get(w, 0) for w in words_], float))
+    grams = sorted({(b" " + w + b" ")[: k + 1] for w in words_ for k in range(1, len(w) + 2)})
+    d = toxicity.DISCOUNT
+
+    def below(context, byte):
+        p = 1 / 257
+        for k in range(toxicity.ORDER + 1):
+            short = context[max(len(context) - k, 0) :]
+            seen = Counter(g[-1] for g in grams if g[max(len(g) - 1 - k, 0) : -1] == short)
+            if seen:
+                p = (max(seen[byte] - d, 0) + d * len(seen) * p) / sum(seen.values())
+        return p
+
+    def likelihood(counts, word):
+        out, s = 1.0, b" " + word + b" "
+        for k in range(1, len(s)):
+            next_ = Counter()
+            for w, n in counts.items():
+                x = b" " + w + b" "
+                if x[:k] == s[:k] and len(x) > k:
+                    next_[x[k]] += n
+            p = below(s[:k], s[k])
+            out *= (max(next_[s[k]] - d, 0) + d * len(next_) * p) / sum(next_.values()) if next_ else p
+        return out
+
+    share = toxicity.TOXIC_SHARE
+    for w in (b"scum", b"scumbag", b"day", b"zzz", b"c"):
+        want = math.log(1 - share + share * likelihood(toxic, w) / likelihood(ordinary, w))
+        assert toxicity.log_ratios(model, [w])[0] == pytest.approx(want, rel=1e-3, abs=1e-6)
+
+
+def test_toxicity_score_rises_with_the_ratio_and_learns_from_a_bounded_sample(spark):
+    rows = [(i, f"{prose(i + 1, 30)} {'zorvex' if i % 4 == 0 else ''}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for sample_bytes in (toxicity.SAMPLE_BYTES, 8_000):
+        got = sorted(toxicity.score(docs, toxicity.train(docs, labels, sample_bytes=sample_bytes)).collect(), key=lambda r: r.log_ratio)
+        assert all(a.score <= b.score for a, b in zip(got, got[1:], strict=False))
+        assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in got]) > 0.95
