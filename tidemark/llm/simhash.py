@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, remove_tables, texts_of, words_of
 
 BITS = 64
+#: Fingerprints from which candidate counts are estimated, about.
+SAMPLE = 1 << 13
 #: Buckets up to this size are compared pair by pair; larger ones link through shared points.
 PAIR_BUCKET = 64
 
@@ -107,7 +110,7 @@ def grouped_bits(correlation: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def within(differ: np.ndarray, most: int) -> float:
-    """Chance that at most ``most`` of the bits differ, from each bit's chance to differ."""
+    """Chance that at most ``most`` of the bits differ, from each bit's chance to differ, as if they were independent."""
     chance = np.zeros(most + 1)
     chance[0] = 1
     for q in differ:
@@ -116,6 +119,23 @@ def within(differ: np.ndarray, most: int) -> float:
     return float(chance.sum())
 
 
+def agreeing(sample: np.ndarray, bits: list[int], most: int) -> float:
+    """Share of the sample's pairs that differ in at most ``most`` of the bits, from histograms of the bits' values.
+
+    Values count as they occur together, so correlated bits agree as often as they do.  For
+    ``most`` over 0 the pairs are counted under each choice of bits left out, an upper estimate.
+    """
+    n = len(sample)
+    if n < 2:
+        return 0.0
+    whole = sum(1 << b for b in bits)
+    pairs = 0.0
+    for out in itertools.combinations(bits, most):
+        _, counts = np.unique(sample & np.uint64(whole & ~sum(1 << b for b in out)), return_counts=True)
+        pairs += float((counts.astype(np.float64) * (counts - 1)).sum())
+    return pairs / (n * (n - 1.0))
+
+
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     """Thresholds (-1, 0, 1, ...) of the parts that sum to ``total`` at the least cost; costs[i][t + 1] is part i's at t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -130,22 +150,31 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (math.inf, []))
 
 
-def plan(n: int, share: np.ndarray, correlation: np.ndarray, distance: int, most_parts: int = 5) -> list[int]:
+def plan(n: int, share: np.ndarray, correlation: np.ndarray, distance: int, most_parts: int = 5, sample: np.ndarray | None = None) -> list[int]:
     """The masks under which fingerprints meet: two within ``distance`` agree on at least one of them.
 
     A part of threshold t is probed by agreement on all but any t of its bits, which is the same
-    as enumerating the values within t.
+    as enumerating the values within t.  Candidate counts are estimated from histograms of a
+    ``sample`` of fingerprints, without one from the bits' shares; a poor estimate costs time and
+    loses no pair.
     """
     differ = 2 * share * (1 - share)
+    counted = sample is not None and len(sample) > 1
+    least = 1.0 / len(sample) ** 2 if counted else 0.0
     best: tuple[float, list[int]] = (math.inf, [])
-    for parts in range(1, most_parts + 1):
+    # Numbers of parts near one more than the distance first: dearer probes than the best plan need no estimate.
+    for parts in sorted(range(1, most_parts + 1), key=lambda p: abs(p - distance - 1)):
         groups = grouped_bits(correlation, parts)
         costs = []
         for bits in groups:
             row = [0.0]
             for t in range(min(distance, len(bits)) + 1):
-                probes = math.comb(len(bits), t)
-                row.append(n * probes * 4.0 + 0.5 * n * n * within(differ[bits], t))
+                probes = n * math.comb(len(bits), t) * 4.0
+                if probes >= best[0]:
+                    row.append(math.inf)
+                    continue
+                pairs = max(agreeing(sample, bits, t), least) if counted else within(differ[bits], t)
+                row.append(probes + 0.5 * n * n * pairs)
             costs.append(row)
         cost, thresholds = allocate(costs, distance - parts + 1)
         if thresholds and cost < best[0]:
@@ -169,7 +198,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     member at a shared point.  Distances over 2 have no such points and use pairs alone.
     """
     n, share, correlation = bit_statistics(fps)
-    masks = plan(n, share, correlation, distance)
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(n // SAMPLE, 1))) == 0).select("fp").toArrow()  # about SAMPLE longs
+    masks = plan(n, share, correlation, distance, sample=some.column("fp").to_numpy().astype(np.int64).view(np.uint64))
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)])
     keyed = fps.select("fp", "rep", F.explode(keys).alias("k")).select("k.part", "k.value", "fp", "rep")
     shared = keyed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -225,7 +255,8 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over fingerprints at ``distance`` or fewer
     differing bits, the row's own included.  Null and wordless texts have fingerprint zero and are
     linked like any other; a null id is returned as a row and never names a component unless all
-    ids of its fingerprint are null; repeated rows are returned each; other columns are not read.
+    ids of its fingerprint are null; repeated rows are returned each; an empty table gives no rows; a
+    very long text is read whole by one task, its votes summed block by block; other columns are not read.
     """
     docs = materialize(fingerprints(df, id_col, text_col, k, seed), "fingerprints")
     fps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
@@ -237,11 +268,16 @@ def near_duplicates(
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``df`` without all but one of each near-duplicate group: the row of the smallest id stays.
 
-    Columns are unchanged.  Rows with a null id can't be told apart and stay; of rows that repeat
-    an id all stay or all go.
+    Columns are unchanged, whatever their names.  Rows with a null id can't be told apart and stay; of
+    rows that repeat an id all stay or all go; an empty table stays empty.
     """
-    kept = near_duplicates(df, id_col, text_col, k, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return keep_ids(df, near_duplicates(df, id_col, text_col, k, distance).where("doc_id = component_id").select("doc_id"), id_col)
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is among the ``ids`` (one column), and those without an id; columns unchanged."""
     # One scan: rows with a null id take part in the join under a key that is always kept.
-    never = F.lit("-")
-    kept = kept.select(F.col("_keep").cast("string")).union(df.sparkSession.range(1).select(never.alias("_keep")))
-    return df.join(kept, F.coalesce(df[id_col].cast("string"), never) == F.col("_keep"), "left_semi")
+    never = "-"
+    key = f"keep-{uuid.uuid4().hex}"
+    kept = ids.select(F.col(ids.columns[0]).cast("string").alias(key)).distinct().union(df.sparkSession.range(1).select(F.lit(never)))
+    return df.join(kept, F.coalesce(df[id_col].cast("string"), F.lit(never)) == kept[key], "left_semi")
