@@ -28,6 +28,8 @@ from .common import bounded_batches, materialize, remove_tables, signed, span_ha
 ORDER, LOW = 5, 2
 #: Rows of each broadcast table.
 HEAD = 1 << 19
+#: Most keys of the shared table of short contexts, and keys that a task computes probabilities of, about.
+LOW_KEYS, TASK_KEYS = 1 << 21, 1 << 21
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 1 << 20
 END = 255
@@ -191,8 +193,11 @@ def gram_values(counts: DataFrame, order: int) -> DataFrame:
     """(kind, key, value, known, n_all) of all grams: value is the log10 probability."""
     spark = counts.sparkSession
     grams = counts.where(F.col("kind") == GRAM)
-    mask = (1 << 8 * (LOW + 1)) - 1
-    low = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    sums = lambda k: grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    # Contexts of LOW bytes go to all tasks if their table is small enough, else those of one byte, which are 65,536 keys at most.
+    known = sums(LOW)
+    depth = LOW if known.count() <= LOW_KEYS else 1
+    low = (known if depth == LOW else sums(depth)).toArrow()
     by = np.argsort(low.column("key").to_numpy())
     key, n = low.column("key").to_numpy()[by].astype(np.uint64), low.column("n").to_numpy()[by].astype(np.float64)
     shared = spark.sparkContext.broadcast((key, n))
@@ -205,8 +210,8 @@ def gram_values(counts: DataFrame, order: int) -> DataFrame:
         gram = gram.view(np.uint64)
         by = np.argsort(gram)
         own = by[n[by] > 0]
-        levels = [Level.shorter(*shared.value, k) for k in range(min(LOW, order) + 1)]
-        levels += [Level.shorter(gram[own], n[own], k) for k in range(LOW + 1, order + 1)]
+        levels = [Level.shorter(*shared.value, k) for k in range(min(depth, order) + 1)]
+        levels += [Level.shorter(gram[own], n[own], k) for k in range(depth + 1, order + 1)]
         values = log_probabilities(gram, levels)
         for at in range(0, len(gram), 1 << 16):
             cut = slice(at, at + (1 << 16))
@@ -214,9 +219,9 @@ def gram_values(counts: DataFrame, order: int) -> DataFrame:
                 [pa.array(signed(gram[cut])), pa.array(values[cut]), pa.array(n[cut] > 0), pa.array(n_all[cut])], names=["key", "value", "known", "n_all"]
             )
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # All contexts that end in the same three bytes meet in one task.
-    dealt = grams.select("key", "n", "n_all").repartition(parts, F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)))
+    # All contexts that end in the same three bytes meet in one task; a task holds about TASK_KEYS keys.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // TASK_KEYS))
+    dealt = grams.select("key", "n", "n_all").repartition(parts, F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)))
     return dealt.mapInArrow(run, "key long, value double, known boolean, n_all long").select(F.lit(GRAM).alias("kind"), "key", "value", "known", "n_all")
 
 
@@ -294,8 +299,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     Rows whose crc32 of the id as text is divisible by ``folds`` are held out of all counts.  A
     null or empty text is the end alone, and a null id counts as the empty text (held out) and is
-    returned as null; repeated rows count and are scored each; an empty table gives no rows;
-    without training rows every symbol has probability 1 / 256; other columns are not read.
+    returned as null; repeated rows count and are scored each; an empty table gives no rows; a text
+    is one task's work and held whole; without training rows every symbol has probability 1 / 256; other columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark)
