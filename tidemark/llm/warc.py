@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, new_path
+from .common import bounded_batches, materialize, new_path, whole_numbers
 
 #: Payloads under this many bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -30,6 +30,8 @@ REVISIT_BYTES = 1000
 ALGORITHMS = {"md5", "sha1", "sha224", "sha256", "sha384", "sha512"}
 #: Bytes after which a writer starts its next file.
 FILE_BYTES = 16 << 20
+#: Keys over which the copies of one payload are spread when they learn of their response.
+SALT = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
@@ -224,17 +226,23 @@ def write_archives(
 
     Of equal payloads of at least ``revisit_bytes`` the largest id is the response and the others
     revisit it; rows that repeat that id are responses too.  A null html is an empty payload, a
-    null url has no target line, a null id is written as ``-`` and its row is a response.  Files
-    of tasks that failed are not in the manifest.
+    null url has no target line, a null id is written as ``-`` and its row is a response; an empty
+    table writes no file.  A payload is written whole, however long (a file then passes
+    ``file_bytes`` by it); other columns are not read.  Files of tasks that failed are not in the manifest.
     """
     bounded_batches(df.sparkSession)
+    whole_numbers(df, id_col)
     html = F.coalesce(df[html_col], F.lit(""))
-    pages = df.select(df[id_col].alias("id"), df[url_col].alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
-    groups = (
-        pages.where(F.octet_length("html") >= revisit_bytes).groupBy("digest")
-        .agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    )
-    dealt = pages.join(groups, "digest", "left").select("id", "url", "html", F.when(F.col("id") < F.col("first"), F.col("first")).alias("first"))
+    # Small payloads are no revisits and have no digest to meet on; copies of a large one are spread over SALT keys.
+    digest = F.when(F.octet_length(html) >= revisit_bytes, F.sha1(html))
+    salt = F.pmod(F.xxhash64(df[id_col], df[url_col]), F.lit(SALT)).cast("int")
+    pages = df.select(df[id_col].alias("id"), df[url_col].alias("url"), html.alias("html"), digest.alias("digest"), salt.alias("salt"))
+    alone = pages.where("digest is null").select("id", "url", "html", F.lit(None).cast("long").alias("first"))
+    large = pages.where("digest is not null")
+    groups = large.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    spread = groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    found = large.join(spread, ["digest", "salt"], "left").select("id", "url", "html", F.when(F.col("id") < F.col("first"), F.col("first")).cast("long").alias("first"))
+    dealt = alone.union(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
@@ -285,7 +293,10 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """The records and gaps of any archives (``.warc`` or ``.warc.gz``) at a path or glob that Spark can read."""
+    """The records and gaps of any archives (``.warc`` or ``.warc.gz``) at a path or glob that Spark can read.
+
+    A file is one row of Spark's reader, so it must be under 2 GB and fit a task's memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
