@@ -14,9 +14,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, prose
-from tidemark.llm import licenses, materialise, packing, ppm, simhash, sketches, tiling, toxicity, urls, warc
+from tidemark.llm import jaccard, licenses, materialise, packing, ppm, simhash, sketches, tiling, toxicity, urls, warc
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -618,3 +619,48 @@ def test_toxicity_score_rises_with_the_ratio_and_learns_from_a_bounded_sample(sp
         got = sorted(toxicity.score(docs, toxicity.train(docs, labels, sample_bytes=sample_bytes)).collect(), key=lambda r: r.log_ratio)
         assert all(a.score <= b.score for a, b in zip(got, got[1:], strict=False))
         assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in got]) > 0.95
+
+
+def test_plan_counts_correlated_bits_as_they_agree():
+    """Bits 0..31 are copies of one another: a part made of them alone would hold half of all fingerprints in a bucket."""
+    rng = np.random.default_rng(5)
+    low, high = rng.integers(0, 2, 4000).astype(np.uint64) * np.uint64(0xFFFFFFFF), rng.integers(0, 1 << 32, 4000).astype(np.uint64) << np.uint64(32)
+    sample = low | high
+    bits = np.array([(sample >> np.uint64(b)) & np.uint64(1) for b in range(64)], float)
+    assert simhash.agreeing(sample, list(range(32)), 0) == pytest.approx(0.5, abs=0.02)
+    assert simhash.within(np.full(32, 0.5), 0) < 1e-9
+    masks = simhash.plan(10**6, bits.mean(1), np.corrcoef(bits), 2, sample=sample)
+    for _ in range(200):
+        differ = sum(1 << int(b) for b in rng.choice(64, 2, replace=False))
+        assert any(m & differ == 0 for m in masks)
+    worst = max(np.unique(sample & np.uint64(m), return_counts=True)[1].max() for m in masks)
+    assert worst < 2100
+
+
+def test_columns_of_any_name_stay(spark, edge):
+    for keep in (simhash.deduplicate, jaccard.deduplicate):
+        odd = edge.withColumn("_keep", F.lit("x")).withColumn("keep", F.lit(1))
+        assert keep(odd).columns == odd.columns
+        assert keep(odd).count() == keep(edge).count()
+
+
+def test_ppm_with_small_tables_and_many_tasks(edge, monkeypatch):
+    whole = {(r.doc_id, r.n_tokens): r.score for r in ppm.score(edge).collect()}
+    monkeypatch.setattr(ppm, "LOW_KEYS", 1)
+    monkeypatch.setattr(ppm, "TASK_KEYS", 500)
+    for r in ppm.score(edge).collect():
+        assert r.score == pytest.approx(whole[r.doc_id, r.n_tokens], rel=1e-9)
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_salvage_survives_any_flipped_byte(zipped):
+    wrap = warc.member if zipped else bytes
+    parts = [wrap(warc.record(f"urn:page:{i}", "http://x/é", b"payload %d " % i * 9, refers_to="urn:page:9" if i == 1 else None)) for i in range(3)]
+    whole = b"".join(parts)
+    for at in range(len(whole)):
+        for value in (whole[at] ^ 0x80, 0):
+            rows = list(warc.salvage(whole[:at] + bytes([value]) + whole[at + 1 :], "f"))
+            hit = next(i for i in range(3) if at < sum(map(len, parts[: i + 1])))
+            found = [r.record_id for r in rows if r.kind == "record"]
+            assert all(f"urn:page:{i}" in found for i in range(3) if i != hit)
+            assert sum(r.length for r in {(r.offset, r.length): r for r in rows}.values()) >= len(whole) - 4
