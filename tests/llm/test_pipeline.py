@@ -3,7 +3,8 @@
 import corpus_pipeline as cp
 import pytest
 
-from tidemark.llm import queries, simhash, tiling, toxicity
+from tests.llm.test_jaccard import smallest
+from tidemark.llm import queries, tiling, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +29,8 @@ def test_stages(spark, docs):
     assert ids(clean) == sorted(r.doc_id for r in toxicity.score(docs, toxicity.train(docs, labels)).collect() if not r.predicted)
     single = cp.near_duplicates(spark, docs, SF)
     assert single.columns == cp.COLUMNS
-    assert ids(single) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+    # The stage takes five-word shingles and a similarity of 0.8: brute force over all pairs.
+    assert ids(single) == sorted(set(smallest([(r.doc_id, r.text) for r in docs.collect()]).values()))
     pure = cp.decontamination(spark, docs, SF)
     leaked = {r.doc_id for r in tiling.leaks(docs, bench).collect()}
     texts = {r.text for r in bench.collect()}
@@ -49,3 +51,16 @@ def test_every_query_is_registered(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries()
+
+
+def test_stages_survive_odd_rows(spark, edge, empty):
+    """Nulls in any column, repeated rows, empty tables and columns that operators use inside."""
+    odd = edge.unionByName(edge.limit(2).selectExpr("doc_id", "text", "null lang", "null source", "null n_chars", *edge.columns[5:]))
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, odd, SF)
+        assert kept.columns == cp.COLUMNS, name
+        want = {r.doc_id for r in odd.collect()}
+        assert {r.doc_id for r in kept.collect()} <= want
+        assert stage(spark, empty, SF).count() == 0
+    assert sum(r.length for r in cp.packing(spark, odd, SF).collect()) > odd.count()
+    assert cp.packing(spark, empty, SF).count() == 0
