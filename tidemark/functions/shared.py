@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is absent (tests, a laptop) a local folder is made and remembered."""
+    """``spark.checkpoint.dir``; only where it is absent and all runs in one process a local folder is made and remembered."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -19,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that later steps don't compute it again."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

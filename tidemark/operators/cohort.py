@@ -180,7 +180,9 @@ def smote(df: DataFrame, id_col: str, label: str, features: list[str], k: int =
 
     Neighbours are sought among minority rows of the same or an adjoining cell of the first
     feature's quantiles, so the self-join grows with a cell and not with all pairs; each synthetic
-    row lies between its base row and one of its ``k`` nearest, at a place drawn by hash.
+    row lies between its base row and one of its ``k`` nearest, at a place drawn by hash.  Exactly as
+    many rows are made as the classes differ by: each minority row gives as many, and some one more,
+    chosen by hash; a row without neighbours is repeated, and one with fewer than ``k`` uses those.
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
@@ -194,10 +196,15 @@ def smote(df: DataFrame, id_col: str, label: str, features: list[str], k: int =
     distance = sum(((F.col(f) - F.col(f"_{f}")) * (F.col(f) - F.col(f"_{f}")) for f in features), F.lit(0.0))
     pairs = placed.join(other, "_c").where("base <> neighbour").withColumn("d", distance)
     near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("d", "neighbour"))).where(F.col("place") <= k)
-    each = -(-lack // max(counts[minor], 1))
-    drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(each)))).where(
-        F.col("place") == F.pmod(F.xxhash64(F.lit(seed), "base", "copy"), F.lit(k)) + 1
+    listed = near.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("place", "neighbour", *[F.col(f"_{f}") for f in features]))).alias("near"))  # k at most
+    more = rows.select("base").orderBy(F.xxhash64(F.lit(seed), "base"), "base").limit(lack % max(counts[minor], 1)).withColumn("one", F.lit(1))
+    own = F.struct(F.lit(1).alias("place"), F.col("base").alias("neighbour"), *[F.col(f).alias(f"_{f}") for f in features])
+    turns = rows.join(listed, "base", "left").join(more, "base", "left").select(
+        "base", *features, F.coalesce("near", F.array(own)).alias("near"), (F.lit(lack // max(counts[minor], 1)) + F.coalesce("one", F.lit(0))).alias("turns")
     )
+    drawn = turns.where("turns > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("turns"))))
+    pick = F.element_at("near", (F.pmod(F.xxhash64(F.lit(seed), "base", "copy"), F.size("near")) + 1).cast("int"))
+    drawn = drawn.withColumn("x", pick).select("base", "copy", *features, "x.*")
     gap = F.pmod(F.xxhash64(F.lit(seed + 1), "base", "copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return drawn.select("base", "neighbour", *[(F.col(f) + gap * (F.col(f"_{f}") - F.col(f))).alias(f) for f in features])
 

@@ -177,8 +177,47 @@ def bootstrap(df: DataFrame, score: str, label: str, resamples: int = 200, thres
     )
 
 
-def mean_ci(df: DataFrame, value: str, keys: list[str] = (), quantile: float = 1.959963984540054) -> DataFrame:
-    half = F.lit(quantile) * F.stddev_samp(value) / F.sqrt(F.count(value))
+def _t_tail(t: float, freedom: int) -> float:
+    """Chance that Student's t with so many degrees of freedom lies over ``t`` > 0, by its finite series."""
+    angle = math.atan(t / math.sqrt(freedom))
+    c = math.cos(angle)
+    term, total = (1.0, 0.0) if freedom % 2 == 0 else (c, 0.0)
+    for k in range(2 if freedom % 2 == 0 else 3, freedom + 1, 2):
+        total += term
+        term *= c * c * (k - 1) / k
+    inside = math.sin(angle) * total if freedom % 2 == 0 else 2 / math.pi * (angle + math.sin(angle) * total)
+    return (1 - inside) / 2
+
+
+def t_quantile(freedom: int, tail: float = 0.025) -> float:
+    """The value that Student's t passes with chance ``tail``, by bisection."""
+    low, high = 0.0, 1.0
+    while _t_tail(high, freedom) > tail:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _t_tail(middle, freedom) > tail else (low, middle)
+    return high
+
+
+#: Degrees of freedom up to which quantiles are taken from exact values; beyond, five terms of the series in 1 / freedom agree to 1e-5.
+EXACT_T = 15
+
+
+def t_quantiles(freedom: Column, z: float = 1.959963984540054) -> Column:
+    """Two-sided 95 % quantile of Student's t; null without a degree of freedom."""
+    terms = [
+        z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    far = sum((F.lit(t) / F.pow(freedom.cast("double"), F.lit(k)) for k, t in enumerate(terms)), F.lit(0.0))
+    near = F.element_at(F.array(*[F.lit(t_quantile(k)) for k in range(1, EXACT_T + 1)]), F.greatest(F.least(freedom, F.lit(EXACT_T)), F.lit(1)).cast("int"))
+    return F.when(freedom > EXACT_T, far).when(freedom >= 1, near)
+
+
+def mean_ci(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """Mean, deviation and 95 % interval by Student's t with n - 1 degrees of freedom; bounds are null for a single value."""
+    half = t_quantiles(F.count(value) - 1) * F.stddev_samp(value) / F.sqrt(F.count(value))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.avg(value) - half).alias("lower"), (F.avg(value) + half).alias("upper"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsp
 from tidemark.functions.columns import HOUR, MINUTE, SECOND, micros
+from tidemark.functions.shared import materialize
 
 from . import kernels
 from . import segments as S
@@ -120,6 +121,8 @@ def process(
     """Tables of a cohort's recordings: ``series`` (annotated), and with sleep ``windows``, ``nights``, ``sleep_bouts``, ``bouts``, ``stats``.
 
     Only the steps that are asked for run; without non-wear detection everything counts as worn.
+    Filtered and calibrated rows, intervals and annotated rows are written to the shared folder once
+    each, so no signal kernel runs twice.
     """
     rows = W.truncate_days(df, KEY, TS, max_days) if max_days else df
     if resample:
@@ -128,23 +131,25 @@ def process(
         rows = kernels.butterworth_filter(rows, KEY, TS, AXES, fs, high=lowpass_hz)
     out = {}
     if calibrated:
-        out["calibration"] = calibration(rows)
+        rows = materialize(rows, "filtered")
+        out["calibration"] = materialize(calibration(rows), "calibration")
         rows = calibrate(rows, out["calibration"])
-    gravity = rows
-    off = non_wear(gravity) if nonwear else None
+    gravity = rows = materialize(rows, "gravity")
+    off = materialize(non_wear(gravity), "nonwear") if nonwear else None
     if highpass_hz:
         rows = kernels.butterworth_filter(rows, KEY, TS, AXES, fs, low=highpass_hz)
     rows = S.in_intervals(rows, off, KEY, TS, "_off").withColumn("wear", ~F.col("_off")).drop("_off") if nonwear else rows.withColumn("wear", F.lit(True))
     if sleep:
-        changes = angle_changes(gravity, fs)
-        windows = sleep_windows(changes)
+        rows = materialize(rows, "worn")
+        changes = materialize(angle_changes(gravity, fs), "changes")
+        windows = materialize(sleep_windows(changes), "windows")
         short = windows.where(F.col("end_us") - F.col("start_us") <= 16 * HOUR)
-        calm = sleep_bouts(changes, short)
+        calm = materialize(sleep_bouts(changes, short), "calm")
         if nonwear:
             bounds = W.recording_bounds(gravity, KEY, TS).drop("n")
             touched = S.in_intervals(rows, short, KEY, TS, "_s")
             doubt = S.runs(touched, KEY, TS, ~F.col("wear") & F.col("_s"))
-            actions = S.conflict_rules(doubt, short, bounds, KEY)
+            actions = materialize(S.conflict_rules(doubt, short, bounds, KEY), "conflicts")
             out["conflicts"] = actions
             clear = actions.where("clear_from_us is not null").select(KEY, F.col("clear_from_us").alias("start_us"), F.col("clear_to_us").alias("end_us")).where("start_us <= end_us")
             rows = S.in_intervals(touched, clear, KEY, TS, "_clear")
@@ -153,7 +158,8 @@ def process(
         else:
             rows = S.in_intervals(rows, short, KEY, TS, "sptw")
         rows = S.in_intervals(rows, calm, KEY, TS, "sleep_bout").withColumn("sleep_bout", F.col("sleep_bout") & F.col("sptw"))
-        final = S.runs(rows, KEY, TS, F.col("sptw"))
-        nights = S.select_nights(final, KEY)
+        rows = materialize(rows, "series")
+        final = materialize(S.runs(rows, KEY, TS, F.col("sptw")), "sptw")
+        nights = materialize(S.select_nights(final, KEY), "nights")
         out |= {"windows": final, "nights": nights, "sleep_bouts": calm, "bouts": movement_bouts(rows, nights), "stats": S.window_stats(final, calm, KEY)}
     return out | {"series": rows}

@@ -122,7 +122,11 @@ def bootstrap_ci(spark, sf_dir):
 Z = "1.959963984540054"
 
 
-@register("mean_ci", f"WITH {D} SELECT lang, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd, round(avg(p) - {Z} * stddev_samp(p) / sqrt(count(p)), 6) AS lower, round(avg(p) + {Z} * stddev_samp(p) / sqrt(count(p)), 6) AS upper FROM d GROUP BY lang")
+#: Student's t quantile of k degrees of freedom by its series in 1 / k.
+T = f"({Z}e0 + ({Z}e0**3 + {Z}e0) / (4 * k) + (5 * {Z}e0**5 + 16 * {Z}e0**3 + 3 * {Z}e0) / (96 * k**2) + (3 * {Z}e0**7 + 19 * {Z}e0**5 + 17 * {Z}e0**3 - 15 * {Z}e0) / (384 * k**3) + (79 * {Z}e0**9 + 776 * {Z}e0**7 + 1482 * {Z}e0**5 - 1920 * {Z}e0**3 - 945 * {Z}e0) / (92160 * k**4))"
+
+
+@register("mean_ci", f"WITH {D}, g AS (SELECT lang, avg(p) AS m, stddev_samp(p) AS sd, count(p) AS n, (count(p) - 1)::DOUBLE AS k FROM d GROUP BY lang) SELECT lang, round(m, 6) AS mean, round(sd, 6) AS sd, round(m - {T} * sd / sqrt(n), 6) AS lower, round(m + {T} * sd / sqrt(n), 6) AS upper FROM g")
 def mean_ci(spark, sf_dir):
     m = V.mean_ci(scored(spark, sf_dir), "p", ["lang"])
     return m.select("lang", *[r(c).alias(c) for c in m.columns[1:]])

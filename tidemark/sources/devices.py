@@ -16,6 +16,7 @@ import zipfile
 from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import reduce
 from urllib.parse import unquote_plus
 
 import numpy as np
@@ -74,7 +75,9 @@ def cwa_header(content: bytes) -> dict:
     """Device, session, rate, logging window and URL-encoded annotations of the first block; empty if it isn't one."""
     if content[:2] != b"MD" or len(content) < 512:
         return {}
-    device, session = struct.unpack_from("<H", content, 5)[0], struct.unpack_from("<I", content, 7)[0]
+    device, session, upper = struct.unpack_from("<HIH", content, 5)
+    # The upper half of the device's number; unset in old files.
+    device += 0 if upper == 0xFFFF else upper << 16
     start, stop = struct.unpack_from("<II", content, 13)
     note = unquote_plus(content[64:512].rstrip(b"\x00\x20\xff").decode("latin-1"))
     iso = lambda p: (datetime(1970, 1, 1) + timedelta(seconds=int(_cwa_seconds(np.array([p]))[0]))).isoformat() if p not in (0, 0xFFFFFFFF) else None
@@ -246,9 +249,31 @@ def detect_delimiter(sample: str, possible: str = ",;\t|", fallback: str = ";")
     return best if counts[best].mean() > 0 else fallback
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header of known names, or without one: time, x, y, z first; values that don't parse are errors."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(100).collect())
+#: Bytes of a file from which its separator and header are told.
+HEAD_BYTES = 1 << 16
+
+
+def _heads(spark: SparkSession, path: str) -> dict[str, str]:
+    """Each file's first lines; files are listed by Spark's own reader, and a bounded head of each is read."""
+    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    out = {}
+    for name in names:
+        if name.rsplit(".", 1)[-1] in ("gz", "bz2", "zst", "lz4", "snappy", "deflate"):
+            out[name] = "\n".join(r.value for r in spark.read.text(name).limit(100).collect())
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+        try:
+            data = bytes(stream.readNBytes(HEAD_BYTES))
+        finally:
+            stream.close()
+        lines = data.decode("utf-8", "replace").lstrip("\ufeff").splitlines()
+        out[name] = "\n".join((lines[:-1] if len(data) == HEAD_BYTES and len(lines) > 1 else lines)[:100])
+    return out
+
+
+def csv_layout(path: str, head: str) -> tuple[str, bool, int, tuple[int, ...]]:
+    """(separator, with header, columns, places of time, x, y, z) of a file that starts with the lines ``head``."""
     sep = detect_delimiter(head + "\n")
     first = next(csv.reader([head.split("\n", 1)[0]], delimiter=sep), [])
     names = [n.strip().lower() for n in first]
@@ -256,11 +281,28 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     titled = all(v is not None for v in found.values())
     if any(v is not None for v in found.values()) and not titled:
         raise ValueError(f"{path}: header lacks {sorted(c for c, v in found.items() if v is None)}")
-    place = found if titled else dict(zip(ALIASES, range(4), strict=True))
-    schema = ", ".join(f"c{i} string" for i in range(len(first)))
-    rows = spark.read.csv(path, schema=schema, sep=sep, header=titled, enforceSchema=True, mode="FAILFAST")
-    number = lambda c: F.trim(F.col(f"c{place[c]}")).cast("double").alias(c)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.trim(F.col(f"c{place['time']}")).cast("timestamp_ntz").alias("time"), number("x"), number("y"), number("z"))
+    return sep, titled, len(first), tuple(found.values()) if titled else tuple(range(4))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with headers of known names, or without: time, x, y, z first; values that don't parse are errors.
+
+    Each file's own header places its columns; files of one layout are read together.
+    """
+    layouts: dict[tuple, list[str]] = {}
+    for name, head in _heads(spark, path).items():
+        layouts.setdefault(csv_layout(name, head), []).append(name)
+    if not layouts:
+        raise ValueError(f"no files at {path}")
+    parts = [_csv_files(spark, files, *layout) for layout, files in sorted(layouts.items())]
+    return reduce(DataFrame.union, parts)
+
+
+def _csv_files(spark: SparkSession, files: list[str], sep: str, titled: bool, columns: int, place: tuple[int, ...]) -> DataFrame:
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    rows = spark.read.csv(files, schema=schema, sep=sep, header=titled, enforceSchema=True, mode="FAILFAST")
+    time, *axes = (F.trim(F.col(f"c{i}")) for i in place)
+    return rows.select(F.col("_metadata.file_path").alias("path"), time.cast("timestamp_ntz").alias("time"), *[a.cast("double").alias(n) for a, n in zip(axes, "xyz", strict=True)])
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
