@@ -122,8 +122,10 @@ def bootstrap_ci(spark, sf_dir):
 Z = "1.959963984540054"
 
 
-#: Student's t quantile of k degrees of freedom by its series in 1 / k.
-T = f"({Z}e0 + ({Z}e0**3 + {Z}e0) / (4 * k) + (5 * {Z}e0**5 + 16 * {Z}e0**3 + 3 * {Z}e0) / (96 * k**2) + (3 * {Z}e0**7 + 19 * {Z}e0**5 + 17 * {Z}e0**3 - 15 * {Z}e0) / (384 * k**3) + (79 * {Z}e0**9 + 776 * {Z}e0**7 + 1482 * {Z}e0**5 - 1920 * {Z}e0**3 - 945 * {Z}e0) / (92160 * k**4))"
+#: Two-sided 95 % quantiles of Student's t for 1 to 15 degrees of freedom.
+T_TABLE = "12.706204736179, 4.302652729750, 3.182446305284, 2.776445105198, 2.570581835636, 2.446911851145, 2.364624251593, 2.306004135204, 2.262157162798, 2.228138851986, 2.200985160092, 2.178812829667, 2.160368656463, 2.144786687918, 2.131449545560"
+#: The quantile of k degrees of freedom: from the table, or beyond it by the series in 1 / k.
+T = f"(CASE WHEN k <= 15 THEN list_value({T_TABLE})[greatest(k, 1)::INT]::DOUBLE ELSE {Z}e0 + ({Z}e0**3 + {Z}e0) / (4 * k) + (5 * {Z}e0**5 + 16 * {Z}e0**3 + 3 * {Z}e0) / (96 * k**2) + (3 * {Z}e0**7 + 19 * {Z}e0**5 + 17 * {Z}e0**3 - 15 * {Z}e0) / (384 * k**3) + (79 * {Z}e0**9 + 776 * {Z}e0**7 + 1482 * {Z}e0**5 - 1920 * {Z}e0**3 - 945 * {Z}e0) / (92160 * k**4) END)"
 
 
 @register("mean_ci", f"WITH {D}, g AS (SELECT lang, avg(p) AS m, stddev_samp(p) AS sd, count(p) AS n, (count(p) - 1)::DOUBLE AS k FROM d GROUP BY lang) SELECT lang, round(m, 6) AS mean, round(sd, 6) AS sd, round(m - {T} * sd / sqrt(n), 6) AS lower, round(m + {T} * sd / sqrt(n), 6) AS upper FROM g")
