@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import HOUR, SECOND, iqr, kurtosis_population, kurtosis_sample, quantile, skew_population, skew_sample
+from tidemark.functions.dsp import find_peaks
 
 
 def eight_statistics(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -76,6 +78,27 @@ def kde_grid(bouts: DataFrame, keys: list[str], bandwidth: float = 0.04, grid: i
     return points.groupBy(*keys, "g").agg(F.avg(kernel).alias("density"))
 
 
+def kde_peaks(
+    bouts: DataFrame, keys: list[str], bandwidth: float = 0.04, grid: int = 400, prominence: float = 0.15, height: float = 0.5, apart: float = 0.1, margin: float = 0.075
+) -> DataFrame:
+    """(keys, kde_n_peaks, kde_avg_prom, kde_max_prom, kde_min_prom): peaks of the midpoints' density, those near either end left out.
+
+    A group is its ``grid`` densities, however many bouts it has; without a peak all are 0, and groups without spread have no row.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, prom = find_peaks(pdf.sort_values("g")["density"].to_numpy(), int(apart * (grid - 1)), prominence, height)
+        edge = int(margin * grid)
+        prom = prom[(at > edge) & (at < grid - edge)]
+        stats = [prom.mean(), prom.max(), prom.min()] if len(prom) else [0.0, 0.0, 0.0]
+        return pd.DataFrame([[*pdf[keys].iloc[0], len(prom), *stats]], columns=[*keys, "kde_n_peaks", *names])
+
+    names = ["kde_avg_prom", "kde_max_prom", "kde_min_prom"]
+    density = kde_grid(bouts, keys, bandwidth, grid)
+    kinds = ", ".join(f"`{k}` {density.schema[k].dataType.simpleString()}" for k in keys)
+    return density.groupBy(*keys).applyInPandas(run, f"{kinds}, kde_n_peaks long, " + ", ".join(f"{n} double" for n in names))
+
+
 def nearest_neighbour_sum(bouts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, nn_sum, n): sum over scaled midpoints of the distance to the nearest other one: the data term of the clustering score."""
     x = unit_midpoints(bouts, keys)
