@@ -56,3 +56,43 @@ def test_round_trip_fails_on_a_gap(spark, monkeypatch):
     df = spark.createDataFrame([(1, "http://x/", "text")], "page_id long, url string, html string")
     with pytest.raises(Exception, match="gap in"):
         warc.round_trip(df).collect()
+
+
+def test_a_folded_header_line_goes_on_with_the_value_before_it():
+    folded = foreign(DIGESTS[0]).replace(b"WARC-Record-ID: <urn:x:1>", b"WARC-Record-ID:\r\n\t<urn:x:1>\r\nX-Note: one\r\n  two")
+    (row,) = warc.salvage(folded, "p")
+    assert (row.kind, row.record_id) == ("record", "urn:x:1")
+    assert list(warc.header_lines(b"A: b\r\n c\r\nD: e", 0, 14)) == [("a", "b c"), ("d", "e")]
+    # A line that goes on with nothing is malformed.
+    assert [r.kind for r in warc.salvage(foreign(DIGESTS[0]).replace(b"WARC-Type: ", b" WARC-Type "), "p")] == ["gap"]
+
+
+def test_false_marks_are_searched_for_once():
+    import time
+
+    good = foreign(DIGESTS[0])
+    for noise in (b"WARC/1.0\r\nno header\r\n", b"\x1f\x8b\x08\x00\x00"):
+        data = noise * 8000 + b"\x00" * (2 << 20) + good
+        began = time.perf_counter()
+        rows = list(warc.salvage(data, "p"))
+        assert [r.kind for r in rows] == ["gap", "record"] and rows[0].length == len(data) - len(good)
+        assert time.perf_counter() - began < 3
+
+
+def test_marks():
+    m = warc.Marks(b"..ab..ab..")
+    assert [m.after(b"ab", i) for i in (0, 1, 2, 3, 6, 7, 0)] == [2, 2, 2, 6, 6, 10, 2]
+
+
+def test_a_bomb_is_a_gap_where_archives_come_from_elsewhere(monkeypatch):
+    monkeypatch.setattr(warc, "BOMB_BYTES", 1 << 20)
+    good = warc.member(foreign(DIGESTS[0]))
+    bomb = warc.member(b"\x00" * (50 << 20))
+    rows = list(warc.salvage(good + bomb + good, "p", bomb=True))
+    assert [r.kind for r in rows] == ["record", "gap", "record"] and "unpacks" in rows[1].reason
+    # A large member of ordinary text is none.
+    import random
+
+    text = random.Random(1).randbytes(300_000).hex().encode()
+    large = foreign(DIGESTS[-1]).replace(TEXT, text).replace(b"Content-Length: %d" % len(TEXT), b"Content-Length: %d" % len(text))
+    assert [r.kind for r in warc.salvage(warc.member(large), "p", bomb=True)] == ["record"]

@@ -35,6 +35,8 @@ SALT = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
+#: A gzip member of a foreign archive that unpacks to over so many bytes, and to over so many times its own, is a gap.
+BOMB_BYTES, BOMB_RATIO = 64 << 20, 200
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
@@ -109,22 +111,61 @@ def declared(said: str | None) -> tuple[str, bytes] | None:
     raise Broken("malformed digest")
 
 
-def parse(data: bytes, at: int, path: str, offset: int, keep_payload: bool) -> tuple[Row, int]:
-    """The record whose version line is at ``at``, and the place after its end; raises :class:`Broken`."""
-    if not re.compile(rb"WARC/\d\.\d\r\n").match(data, at):
-        raise Broken("no version line")
-    stop = data.find(_END, at)
-    if stop < 0:
-        raise Broken("header without end")
-    head = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Broken("malformed header")
+class Marks:
+    """Next places of byte strings in ``data``; asked in ascending order, each place is searched for once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on; the end of the data if there is none."""
+        low, place = self.found.get(mark, (0, -1))
+        if not low <= at <= place:
+            place = self.data.find(mark, at)
+            place = len(self.data) if place < 0 else place
+            self.found[mark] = at, place
+        return place
+
+
+def header_lines(data: bytes, start: int, stop: int) -> Iterator[tuple[str, str]]:
+    """Names (lower case) and values of the header lines ``data[start:stop]``, up to the first malformed one.
+
+    A line that starts with a blank goes on with the value before it.
+    """
+    held: tuple[bytes, bytes] | None = None
+
+    def text(name: bytes, value: bytes) -> tuple[str, str]:
         try:
-            head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8")
+            return name.decode("latin-1"), value.strip().decode("utf-8")
         except UnicodeDecodeError:
             raise Broken("header is not UTF-8") from None
+
+    while start < stop:
+        end = data.find(b"\r\n", start, stop)
+        end = stop if end < 0 else end
+        line, start = data[start:end], end + 2
+        if line[:1] in (b" ", b"\t") and held:
+            held = held[0], held[1] + b" " + line.strip()
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon:
+            raise Broken("malformed header")
+        if held:
+            yield text(*held)
+        held = name.strip().lower(), value.strip()
+    if held:
+        yield text(*held)
+
+
+def parse(data: bytes, at: int, path: str, offset: int, keep_payload: bool, marks: Marks | None = None) -> tuple[Row, int]:
+    """The record whose version line is at ``at``, and the place after its end; raises :class:`Broken`."""
+    line = re.compile(rb"WARC/\d\.\d\r\n").match(data, at)
+    if not line:
+        raise Broken("no version line")
+    stop = (marks or Marks(data)).after(_END, at)
+    if stop == len(data):
+        raise Broken("header without end")
+    head = dict(header_lines(data, line.end(), stop))
     length = head.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         raise Broken("no content length")
@@ -152,13 +193,18 @@ def parse(data: bytes, at: int, path: str, offset: int, keep_payload: bool) -> t
     return row, end + 4
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and its end; fed in steps, as what follows it is copied back."""
-    unpack, out, upto = zlib.decompressobj(31), [], at
+def inflate(data: bytes, at: int, step: int = 1 << 14, bomb: bool = False) -> tuple[bytes, int]:
+    """The content of the gzip member at ``at`` and its end; fed in steps, as what follows it is copied back.
+
+    With ``bomb`` a member that unpacks to far more than its own bytes is given up as soon as that shows.
+    """
+    unpack, out, upto, size = zlib.decompressobj(31), [], at, 0
     try:
         while not unpack.eof and upto < len(data):
             out.append(unpack.decompress(data[upto : upto + step]))
-            upto += step
+            upto, size = upto + step, size + len(out[-1])
+            if bomb and size > max(BOMB_BYTES, BOMB_RATIO * (upto - at)):
+                raise Broken("gzip member unpacks to far more than its bytes")
     except zlib.error as e:
         raise Broken(f"gzip: {e}") from None
     if not unpack.eof:
@@ -169,38 +215,37 @@ def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
 def parse_all(plain: bytes, path: str, offset: int, keep_payload: bool) -> tuple[list[Row], str | None]:
     """The records of a gzip member's content, and why the first bytes that yield none do so."""
     blank = re.compile(rb"\s*")
-    rows, why, at = [], None, 0
-    while at >= 0 and not blank.fullmatch(plain, at):
+    rows, why, at, marks = [], None, 0, Marks(plain)
+    while not blank.fullmatch(plain, at):
         try:
-            row, at = parse(plain, at, path, offset, keep_payload)
+            row, at = parse(plain, at, path, offset, keep_payload, marks)
             rows.append(row)
         except Broken as e:
-            why, at = why or str(e), plain.find(b"WARC/", at + 1)
+            why, at = why or str(e), marks.after(b"WARC/", at + 1)
     return rows, why
 
 
-def salvage(data: bytes, path: str, keep_payload: bool = False) -> Iterator[Row]:
+def salvage(data: bytes, path: str, keep_payload: bool = False, bomb: bool = False) -> Iterator[Row]:
     """All records of an archive in order, and a gap row for each run of bytes that yields none.
 
-    Records of one gzip member share its offset and length; where a part of it yields none, a gap row of the same place follows them.
+    With ``bomb`` members that unpack to over BOMB_BYTES and BOMB_RATIO times their bytes are gaps.  Records of one gzip member share its offset and length; where a part of it yields none, a gap row of the same place follows them.
     """
-    at, bad, why = 0, None, ""
+    at, bad, why, marks = 0, None, "", Marks(data)
     while at < len(data):
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                plain, end = inflate(data, at)
+                plain, end = inflate(data, at, bomb=bomb)
                 rows, part = parse_all(plain, path, at, keep_payload)
                 if not rows:
                     raise Broken(part or "empty gzip member")
                 rows = [row._replace(length=end - at) for row in rows] + ([Row(path, at, end - at, "gap", part)] if part else [])
             else:
-                row, end = parse(data, at, path, at, keep_payload)
+                row, end = parse(data, at, path, at, keep_payload, marks)
                 rows = [row]
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
-            after = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if p > 0]
-            at = min(after, default=len(data))
+            at = min(marks.after(b"\x1f\x8b\x08", at + 1), marks.after(b"WARC/", at + 1))
             continue
         if bad is not None:
             yield Row(path, bad, at - bad, "gap", why)
@@ -301,7 +346,7 @@ def read_folder(spark: SparkSession, path: str, keep_payload: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _batches(salvage(data, name, keep_payload))
+                yield from _batches(salvage(data, name, keep_payload, bomb=True))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
