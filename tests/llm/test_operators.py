@@ -544,6 +544,17 @@ def test_ids_equal_the_tokenizers_library(blank_run, parts):
     assert packing.encoder(packing.default_tokenizer(), blank_run)(text).tolist() == reference_tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_runs_of_blanks_take_time_in_proportion_to_their_length():
+    encode, library = packing.encoder(packing.default_tokenizer()), reference_tokenizer()
+    for n in (63, 64, 65, 1000, 9_999):
+        text = ("word" + " " * n) * (30_000 // n)
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    text = ("word" + " " * 9_999) * 300
+    began = time.perf_counter()
+    encode(text)
+    assert time.perf_counter() - began < 20  # 52 s where runs were searched by the pattern
+
+
 @functools.lru_cache(1)
 def reference_tokenizer():
     from tokenizers import Tokenizer

@@ -45,7 +45,7 @@ def default_tokenizer() -> str:
 
 #: White space as the tokeniser's pattern has it, and the length from which a run of it is set apart.
 _BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLANK_RUN = 10_000
+BLANK_RUN = 64
 
 
 @functools.lru_cache(2)
@@ -54,8 +54,8 @@ def encoder(path: str, blank_run: int = BLANK_RUN):
 
     The file's vocabulary is read as merge ranks (its ids are in merge order), which gives the
     ids of the tokenizers library at several times its speed; tests compare the two.  The file's
-    added tokens are cut out of a text first and are their own ids.  The pattern's search would
-    overflow its stack on very long white space: of a run of ``blank_run`` or more all but the
+    added tokens are cut out of a text first and are their own ids.  The pattern's search takes time
+    quadratic in the length of white space, and overflows its stack in the end: of a run of ``blank_run`` or more all but the
     last character (at a text's end: all) are one piece by the pattern, and are merged as one.
     """
     import public_tokenizers
