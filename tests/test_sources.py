@@ -78,12 +78,16 @@ def gt3x(records, extra=None):
 
 def test_gt3x_records(spark, tmp_path):
     bits = "".join(f"{v & 0xFFF:03x}" for v in (1, 256, -256, -1, 512, 128))
-    records = [(0x1A, 100, struct.pack("<6h", 256, 0, -256, 1, 2, 3) + b"\x01"), (0x00, 101, bytes.fromhex(bits))]
-    (tmp_path / "a.gt3x").write_bytes(gt3x(records))
-    out = D.read_recordings(spark, f"file://{tmp_path}/a.gt3x").orderBy("time").toPandas()
+    words, packed = (0x1A, 100, struct.pack("<6h", 256, 0, -256, 1, 2, 3) + b"\x01"), (0x00, 101, bytes.fromhex(bits))
+    # A file has records of one type; of two it is refused.
+    (tmp_path / "a.gt3x").write_bytes(gt3x([words]))
+    (tmp_path / "b.gt3x").write_bytes(gt3x([packed]))
+    out = D.read_recordings(spark, f"file://{tmp_path}/*.gt3x").orderBy("time").toPandas()
     assert out["x"].tolist() == [1.0, 1 / 256, 1.0, 2.0]
     assert out["y"].tolist() == [0.0, 2 / 256, 1 / 256, -1 / 256]
     assert str(out["time"].iloc[1]) == "1970-01-01 00:01:40.500000"
+    with pytest.raises(ValueError, match="several"):
+        D.decode_gt3x("x", gt3x([words, packed]))
     with pytest.raises(ValueError, match="idle sleep"):
         D.decode_gt3x("x", gt3x([(0x15, 1, struct.pack("<HHI", 1, 9, 1))]))
     assert D.decode_gt3x("x", gt3x([(0x00, 5, b"")])).empty

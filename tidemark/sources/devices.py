@@ -13,7 +13,6 @@ import json
 import re
 import struct
 import zipfile
-from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import reduce
@@ -32,15 +31,6 @@ def _frame(path: str, us: np.ndarray, xyz: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"path": path, "time": EPOCH + us.astype("timedelta64[us]"), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
 
-def _decoded(files: DataFrame, decode) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield decode(path, bytes(content))
-
-    return files.select("path", "content").mapInPandas(run, SERIES)
-
-
 # --- .cwa: 512-byte blocks ------------------------------------------------------------------
 
 #: A data block: header "AX", packed time, rate code, axes and packing, and 480 bytes of samples.
@@ -72,45 +62,53 @@ def cwa_rate(code: int) -> float:
 
 
 def cwa_header(content: bytes) -> dict:
-    """Device, session, rate, logging window and URL-encoded annotations of the first block; empty if it isn't one."""
+    """Device, session, rate, logging window, annotations and the first data block's place; empty if it isn't a header block."""
     if content[:2] != b"MD" or len(content) < 512:
         return {}
-    device, session, upper = struct.unpack_from("<HIH", content, 5)
+    size, device, session, upper = struct.unpack_from("<H", content, 2)[0], *struct.unpack_from("<HIH", content, 5)
     # The upper half of the device's number; unset in old files.
     device += 0 if upper == 0xFFFF else upper << 16
     start, stop = struct.unpack_from("<II", content, 13)
     note = unquote_plus(content[64:512].rstrip(b"\x00\x20\xff").decode("latin-1"))
     iso = lambda p: (datetime(1970, 1, 1) + timedelta(seconds=int(_cwa_seconds(np.array([p]))[0]))).isoformat() if p not in (0, 0xFFFFFFFF) else None
-    return {"device": device, "session": session, "rate": cwa_rate(content[36]), "range": 16 >> (content[36] >> 6), "start": iso(start), "stop": iso(stop), "note": note}
+    # The packet's length is told without its first four bytes; data begin at the next whole block.
+    data_at = -(-(size or 1020) // 512) * 512
+    return {"device": device, "session": session, "rate": cwa_rate(content[36]), "range": 16 >> (content[36] >> 6), "start": iso(start), "stop": iso(stop), "note": note, "data_at": data_at}
 
 
-def decode_cwa(path: str, content: bytes) -> pd.DataFrame:
-    """Samples of the valid blocks: right marks, lengths, axes, rate and checksum; times run evenly between blocks' anchors."""
-    head = cwa_header(content)
-    body = content[1024 if head else 0 :]
-    blocks = np.frombuffer(body[: len(body) // 512 * 512], dtype=CWA_BLOCK)
-    sums = np.frombuffer(body[: len(body) // 512 * 512], dtype="<u2").reshape(-1, 256).sum(1, dtype=np.uint32) & 0xFFFF
-    first = np.flatnonzero((blocks["header"] == 0x5841) & (blocks["length"] == 508) & (sums == 0))
-    if not len(first):
-        return _frame(path, np.zeros(0, np.int64), np.zeros((0, 3)))
-    lead = blocks[first[0]]
-    blocks = blocks[first]
-    blocks = blocks[(blocks["axes_bps"] == lead["axes_bps"]) & (blocks["rate"] == lead["rate"])]
+def cwa_blocks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Whole blocks of ``raw`` and which of them have the right mark, length and checksum."""
+    raw = raw[: len(raw) // 512 * 512]
+    blocks = np.frombuffer(raw, dtype=CWA_BLOCK)
+    sums = np.frombuffer(raw, dtype="<u2").reshape(-1, 256).sum(1, dtype=np.uint32) & 0xFFFF
+    return blocks, (blocks["header"] == 0x5841) & (blocks["length"] == 508) & (sums == 0)
+
+
+def cwa_samples(blocks: np.ndarray, own: np.ndarray, lead: np.void) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(microseconds, axes in g, (light, temperature)) of the samples of the valid blocks marked ``own``.
+
+    Times run evenly between the anchors of the valid ``blocks``, so the blocks beside the own ones
+    give theirs; before the first and after the last anchor of all they go on at the rate.  ``lead`` is
+    the file's first valid block: axes and rate are its own.
+    """
+    if not own.any():
+        return np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros((0, 2))
     rate, axes, packed = cwa_rate(int(lead["rate"])), int(lead["axes_bps"]) >> 4, int(lead["axes_bps"]) & 15 == 0
     unit = float(1 << (8 + (int(lead["light"]) >> 13 & 7))) if int(lead["light"]) >> 13 & 7 else 256.0
     fraction = np.where(blocks["fraction"] & 0x8000, (blocks["fraction"] & 0x7FFF) / 32768.0, 0.0)
-    anchor, counts = _cwa_seconds(blocks["time"]) + fraction, blocks["count"].astype(np.int64)
+    whole, counts = _cwa_seconds(blocks["time"]), blocks["count"].astype(np.int64)
     before = np.cumsum(counts) - counts
-    # An anchor is the time of the block's sample at its offset.
+    # An anchor is the time of the block's sample at its offset; a sample counts from the anchor before it, so that a
+    # range's times have the digits of the whole file's.
     place = before + blocks["offset"]
-    n = int(counts.sum())
-    index = np.arange(n)
-    if len(anchor) > 1:
-        seconds = np.interp(index, place, anchor)
-        early, late = index < place[0], index > place[-1]
-        seconds[early], seconds[late] = anchor[0] + (index[early] - place[0]) / rate, anchor[-1] + (index[late] - place[-1]) / rate
-    else:
-        seconds = anchor[0] + (index - place[0]) / rate
+    index = np.arange(int(counts.sum()))
+    k = np.clip(np.searchsorted(place, index, side="right") - 1, 0, len(place) - 1)
+    step = np.append(np.diff(whole) + np.diff(fraction), 0.0) / np.append(np.maximum(np.diff(place), 1), 1)
+    step[-1] = 1 / rate
+    each = np.where(index < place[0], 1 / rate, step[k])
+    us = whole[k] * 1_000_000 + np.rint((fraction[k] + (index - place[k]) * each) * 1e6).astype(np.int64)
+    light, warmth = (blocks["light"] & 0x3FF).astype(float), (blocks["temperature"] & 0x3FF) * (75.0 / 256) - 50
+    extras = np.stack([np.interp(index, place, light), np.interp(index, place, warmth)], axis=1)
     raw = np.ascontiguousarray(blocks["data"]).view(np.uint8).reshape(len(blocks), 480)
     if packed:
         words = raw.view("<u4").astype(np.int64)
@@ -120,25 +118,49 @@ def decode_cwa(path: str, content: bytes) -> pd.DataFrame:
         values = raw.view("<i2")
         per = 240 // axes
         xyz = values[:, : per * axes].reshape(len(blocks), per, axes)[:, :, axes - 3 :].astype(np.int64)
-    keep = np.arange(xyz.shape[1])[None, :] < counts[:, None]
-    return _frame(path, np.rint(seconds * 1e6).astype(np.int64), xyz[keep][:n] / unit)
+    held = np.arange(xyz.shape[1])[None, :] < counts[:, None]
+    mine = np.repeat(own, counts)
+    return us[mine], xyz[held & own[:, None]] / unit, extras[mine]
+
+
+def decode_cwa(path: str, content: bytes) -> pd.DataFrame:
+    """Samples of the valid blocks: right marks, lengths, axes, rate and checksum; times run evenly between blocks' anchors."""
+    head = cwa_header(content)
+    blocks, valid = cwa_blocks(content[head["data_at"] if head else 0 :])
+    if not valid.any():
+        return _frame(path, np.zeros(0, np.int64), np.zeros((0, 3)))
+    blocks = blocks[valid]
+    lead = blocks[0]
+    blocks = blocks[(blocks["axes_bps"] == lead["axes_bps"]) & (blocks["rate"] == lead["rate"])]
+    us, xyz, _ = cwa_samples(blocks, np.ones(len(blocks), bool), lead)
+    return _frame(path, us, xyz)
 
 
 # --- .bin: text pages of hexadecimal samples ---------------------------------------------------
 
-def read_geneactiv(spark: SparkSession, path: str) -> DataFrame:
+def read_geneactiv(spark: SparkSession, path: str, extras: bool = False) -> DataFrame:
     """Pages as rows of the text reader and samples by SQL: 12 hex digits each, three 12-bit axes, 10 bits of light and a button.
 
     The header's gain and offset are a row for each file; time is the page's plus sample over rate.
+    A file whose pages are not as many as its header says is an error when its rows are computed; a
+    header that doesn't say is not held to anything.  ``extras`` adds light (lux) and button.
     """
     pages = spark.read.option("lineSep", "Recorded Data").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
     field = lambda name: F.regexp_extract("value", rf"(?m)^\s*{name}\s*:\s*(-?[0-9.]+)", 1).try_cast("double")
-    head = pages.where(F.col("value").contains("x gain")).select("path", *[field(f"{a} {n}").alias(f"{n}_{a}") for a in "xyz" for n in ("gain", "offset")])
+    head = pages.where(F.col("value").contains("x gain")).select(
+        "path", *[field(f"{a} {n}").alias(f"{n}_{a}") for a in "xyz" for n in ("gain", "offset")], field("Number of Pages").alias("stated"), field("Volts").alias("volts"), field("Lux").alias("lux")
+    )
     body = pages.where(F.col("value").contains("Sequence Number")).select(
         "path", field("Sequence Number").cast("long").alias("page"), F.regexp_extract("value", r"Page Time:([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}:[0-9]{3})", 1).alias("at"),
         field("Measurement Frequency").alias("fs"), F.regexp_extract("value", r"(?m)^([0-9A-Fa-f]{12,})\s*$", 1).alias("hex"),
     )
-    return hex_samples(body.where(F.length("hex") % 12 == 0).join(F.broadcast(head), "path"))  # a row for each file
+    found = body.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    short = F.when(F.col("found") == F.col("stated"), F.col("gain_x")).otherwise(
+        F.raise_error(F.concat("path", F.lit(": "), F.col("found").cast("string"), F.lit(" pages, the header says "), F.col("stated").cast("string"))).cast("double")
+    )
+    head = head.join(found, "path").withColumn("gain_x", F.when(F.col("stated").isNull(), F.col("gain_x")).otherwise(short)).drop("stated", "found")
+    # A row for each file; Spark broadcasts it if it measures small enough.
+    return hex_samples(body.where(F.length("hex") % 12 == 0).join(head, "path"), extras)
 
 
 def twelve_bits(digits: Column) -> Column:
@@ -147,13 +169,15 @@ def twelve_bits(digits: Column) -> Column:
     return F.when(v >= 2048, v - 4096).otherwise(v)
 
 
-def hex_samples(pages: DataFrame) -> DataFrame:
-    """Samples of (path, page, at, fs, hex, gain_*, offset_*) rows, by built-in functions alone."""
+def hex_samples(pages: DataFrame, extras: bool = False) -> DataFrame:
+    """Samples of (path, page, at, fs, hex, gain_*, offset_*) rows, by built-in functions alone; ``extras`` need volts and lux too."""
     rows = pages.where("length(hex) >= 12").withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("hex") / 12).cast("int") - 1)))
     start = F.concat(F.substring("at", 1, 19), F.lit("."), F.substring("at", 21, 3)).cast("timestamp_ntz")
     time = F.timestamp_add("MICROSECOND", F.round(F.col("i") / F.col("fs") * 1_000_000).cast("long"), start)
     axis = lambda k, a: ((twelve_bits(F.col("hex").substr(F.col("i") * 12 + 1 + 3 * k, F.lit(3))) * 100 - F.col(f"offset_{a}")) / F.col(f"gain_{a}")).alias(a)
-    return rows.select("path", time.alias("time"), axis(0, "x"), axis(1, "y"), axis(2, "z"))
+    last = F.conv(F.col("hex").substr(F.col("i") * 12 + 10, F.lit(3)), 16, 10).cast("int")
+    more = [(F.shiftright(last, 2) * F.col("lux") / F.col("volts")).alias("light"), F.shiftright(last, 1).bitwiseAND(F.lit(1)).alias("button")] if extras else []
+    return rows.select("path", time.alias("time"), axis(0, "x"), axis(1, "y"), axis(2, "z"), *more)
 
 
 # --- .gt3x: a zip of records ---------------------------------------------------------------------
@@ -192,33 +216,96 @@ def twelve_bit_triples(payload: bytes) -> np.ndarray:
     return np.where(v >= 2048, v - 4096, v).reshape(-1, 3)[:, [1, 0, 2]]
 
 
+def gt3x_info(text: str) -> dict[str, str]:
+    """Names and values of a recording's info file."""
+    pairs = (line.partition(":") for line in text.lstrip("\ufeff").splitlines())
+    return {name.strip(): value.strip() for name, colon, value in pairs if colon}
+
+
+def _number(said: str | None) -> float | None:
+    try:
+        return float(said.replace(",", "."))
+    except (AttributeError, ValueError):
+        return None
+
+
+def gt3x_scale(info: dict[str, str], kind: int) -> float:
+    """Counts a g: the header's own scale, else the type's range of counts over the header's range of g, else 256."""
+    scale, low, high = (_number(info.get(f"Acceleration {n}")) for n in ("Scale", "Min", "Max"))
+    if scale:
+        return scale
+    return 2.0 ** (12 if kind == ACTIVITY else 16) / (high - low) if low is not None and high is not None and high > low else 256.0
+
+
+def gt3x_calibration(own: dict, rate: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, offset) such that g = matrix @ (counts - offset), from the maker's calibration.
+
+    Data that are calibrated already, and calibrations that lack a coefficient, only have the scale.
+    """
+    plain = np.eye(3) / scale, np.zeros(3)
+    if not own or own.get("isCalibrated", True):
+        return plain
+    method = own.get("calibrationMethod")
+    if method not in (1, 2):
+        raise ValueError(f"calibration method {method} is unknown")
+    try:
+        if method == 1:
+            high, low, zero = (np.array([own[f"{n}ZeroGOffset{a}" if n else f"zeroGOffset{a}"] for a in "XYZ"], float) for n in ("positive", "negative", ""))
+            gain = 2 / (high - low)
+            return np.diag(gain), zero * gain
+        coefficient = lambda name: float(own[f"{name}_{int(rate)}"])
+        matrix = np.diag([100 / coefficient(f"sensitivity{a}{a}") for a in "XYZ"])
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            matrix[i, j] = matrix[j, i] = 1 / (250 + coefficient("sensitivity" + "XYZ"[i] + "XYZ"[j]) / 100) - 1 / 250
+        return matrix, np.array([coefficient(f"offset{a}") for a in "XYZ"])
+    except KeyError:
+        return plain
+
+
+def gt3x_activity(records: Iterator[tuple[int, int, bytes]], path: str, rate: float | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """The activity records; refuses idle sleep, several types, none at all, and (with ``rate``) records that are no second long."""
+    types: set[int] = set()
+    for kind, second, payload in records:
+        if kind == PARAMETERS and any(struct.unpack_from("<HHI", payload, k)[:2] == (1, 0x9) and payload[k + 4] & 1 for k in range(0, len(payload) // 8 * 8, 8)):
+            raise ValueError(f"{path}: recorded with idle sleep mode on")
+        # Payloads of one byte are left by a docked device.
+        if kind not in (ACTIVITY, ACTIVITY2) or len(payload) < 2:
+            continue
+        types.add(kind)
+        if len(types) > 1:
+            raise ValueError(f"{path}: records of several activity types")
+        n = len(gt3x_counts(kind, payload)) if rate else 0
+        if rate and n != rate:
+            raise ValueError(f"{path}: {n} samples in a record of a second, {rate:g} expected")
+        yield kind, second, payload
+
+
+def gt3x_counts(kind: int, payload: bytes) -> np.ndarray:
+    """Rows of x, y, z counts of an activity record."""
+    return twelve_bit_triples(payload) if kind == ACTIVITY else np.frombuffer(payload[: len(payload) // 6 * 6], "<i2").reshape(-1, 3).astype(np.int32)
+
+
+def gt3x_samples(records: list[tuple[int, int, bytes]], rate: float, matrix: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(microseconds, axes in g) of activity records."""
+    counts = [gt3x_counts(kind, payload) for kind, _, payload in records]
+    if not counts:
+        return np.zeros(0, np.int64), np.zeros((0, 3))
+    us = [second * 1_000_000 + np.rint(np.arange(len(c)) / rate * 1e6).astype(np.int64) for (_, second, _), c in zip(records, counts, strict=True)]
+    return np.concatenate(us), (np.concatenate(counts) - offset) @ matrix.T
+
+
 def decode_gt3x(path: str, content: bytes) -> pd.DataFrame:
-    """Samples in g: scaled by the header's scale, else by the activity type's range; idle-sleep recordings are refused."""
+    """Samples in g of a whole file; idle-sleep recordings, the old format and mixed activity types are refused."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         if "log.bin" not in names:
             raise ValueError(f"{path}: no record log; the old format isn't read")
-        info = dict(line.split(": ", 1) for line in z.read("info.txt").decode("utf-8-sig").splitlines() if ": " in line)
-        log = z.read("log.bin")
+        info = gt3x_info(z.read("info.txt").decode("utf-8-sig"))
+        records = list(gt3x_activity(gt3x_records(z.read("log.bin")), path))
         own = json.loads(z.read("calibration.json")) if "calibration.json" in names else {}
-    rate, times, rows, kinds = float(info.get("Sample Rate", 30)), [], [], Counter()
-    for kind, second, payload in gt3x_records(log):
-        if kind == PARAMETERS and any(struct.unpack_from("<HHI", payload, k)[:2] == (1, 0x9) and payload[k + 4] & 1 for k in range(0, len(payload) // 8 * 8, 8)):
-            raise ValueError(f"{path}: recorded with idle sleep mode on")
-        if kind not in (ACTIVITY, ACTIVITY2) or not payload:
-            continue
-        xyz = twelve_bit_triples(payload) if kind == ACTIVITY else np.frombuffer(payload[: len(payload) // 6 * 6], "<i2").reshape(-1, 3).astype(np.int32)
-        kinds[kind] += 1
-        times.append(second * 1_000_000 + np.rint(np.arange(len(xyz)) / rate * 1e6).astype(np.int64))
-        rows.append(xyz)
-    if not rows:
-        return _frame(path, np.zeros(0, np.int64), np.zeros((0, 3)))
-    span = float(info.get("Acceleration Max", 8)) - float(info.get("Acceleration Min", -8))
-    scale = float(info.get("Acceleration Scale", 0)) or (2 ** (12 if kinds.most_common(1)[0][0] == ACTIVITY else 16) / span if span > 0 else 256.0)
-    xyz = np.concatenate(rows) / scale
-    if "sensitivity" in own:
-        xyz = (xyz - np.array(own.get("offset", [0, 0, 0]), float)) @ np.array(own["sensitivity"], float).T
-    return _frame(path, np.concatenate(times), xyz)
+    rate = _number(info.get("Sample Rate")) or 30.0
+    calibration = gt3x_calibration(own, rate, gt3x_scale(info, records[0][0] if records else ACTIVITY))
+    return _frame(path, *gt3x_samples(records, rate, *calibration))
 
 
 # --- generic CSV ---------------------------------------------------------------------------------
@@ -306,23 +393,18 @@ def _csv_files(spark: SparkSession, files: list[str], sep: str, titled: bool, co
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the extension."""
+    """Dispatch on the extension; ``.cwa`` files are read by ranges and ``.gt3x`` logs in parts, see :mod:`.ranges`."""
+    from . import ranges
+
     kind = re.sub(r".*\.", "", path.rstrip("*/").lower())
-    if kind == "csv":
-        return read_csv(spark, path)
-    if kind == "bin":
-        return read_geneactiv(spark, path)
-    decoders = {"cwa": decode_cwa, "gt3x": decode_gt3x}
-    if kind not in decoders:
+    readers = {"csv": read_csv, "bin": read_geneactiv, "cwa": ranges.read_cwa, "gt3x": ranges.read_gt3x}
+    if kind not in readers:
         raise ValueError(f"no reader for .{kind} files")
-    return _decoded(spark.read.format("binaryFile").load(path), decoders[kind])
+    return readers[kind](spark, path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, header as JSON) of ``.cwa`` files."""
+    from . import ranges
 
-    @F.udf("string")
-    def header(content):
-        return json.dumps(cwa_header(bytes(content)))
-
-    return spark.read.format("binaryFile").load(path).select("path", header(F.substring("content", 1, 1024)).alias("header"))
+    return ranges.cwa_headers(spark, path).select("path", F.to_json(F.struct("device", "session", "rate", "start", "stop", "note", "data_at")).alias("header"))
