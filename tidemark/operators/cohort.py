@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
+from tidemark.functions.shared import materialize
+
+from .neighbours import nearest
 
 # Cells that mark a metadata row as a summary or a note.
 SUMMARY_WORDS = ("total", "subtotal", "sum", "gesamt", "summe", "note", "notes", "mean", "average")
@@ -175,38 +178,45 @@ def check_folds(folds: DataFrame) -> DataFrame:
     return bad_role.union(overlap).union(moved).union(once).union(grid).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-def smote(df: DataFrame, id_col: str, label: str, features: list[str], k: int = 5, seed: int = 42, cells: int = 8) -> DataFrame:
-    """Synthetic minority rows (id of the base row, neighbour, features) until both classes are equal.
+def smote(df: DataFrame, id_col: str, label: str, features: list[str], k: int = 5, seed: int = 42, group: str | None = None) -> DataFrame:
+    """Synthetic minority rows (id of the base row, neighbour, features[, group]) until both classes are equal.
 
-    Neighbours are sought among minority rows of the same or an adjoining cell of the first
-    feature's quantiles, so the self-join grows with a cell and not with all pairs; each synthetic
-    row lies between its base row and one of its ``k`` nearest, at a place drawn by hash.  Exactly as
-    many rows are made as the classes differ by: each minority row gives as many, and some one more,
-    chosen by hash; a row without neighbours is repeated, and one with fewer than ``k`` uses those.
+    Each lies between its base row and one of that row's ``k`` nearest minority rows (exact ones, see
+    :mod:`.neighbours`), at a place drawn by hash.  Exactly as many rows are made as the classes
+    differ by: each minority row gives as many, and some one more, chosen by hash; a row without
+    neighbours is repeated, and one with fewer than ``k`` uses those.  With ``group`` a synthetic
+    row carries the group of the minority row that is nearest to it.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
+    more_columns = [group] if group else []
     if len(counts) < 2:
-        return df.where("false").select(F.col(id_col).alias("base"), F.col(id_col).alias("neighbour"), *features)
+        return df.where("false").select(F.col(id_col).alias("base"), F.col(id_col).alias("neighbour"), *features, *more_columns)
     minor = min(counts, key=lambda c: (counts[c], str(c)))
     lack = max(counts.values()) - counts[minor]
-    rows = df.where(F.col(label) == minor).select(F.col(id_col).alias("base"), *[F.col(f).cast("double").alias(f) for f in features])
-    edges = rows.agg(F.percentile(features[0], F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias("_e"))
-    placed = rows.crossJoin(F.broadcast(edges)).withColumn("_c", F.size(F.filter("_e", lambda e: e < F.col(features[0])))).drop("_e")  # one row
-    other = placed.select(F.col("base").alias("neighbour"), *[F.col(f).alias(f"_{f}") for f in features], F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"))
-    distance = sum(((F.col(f) - F.col(f"_{f}")) * (F.col(f) - F.col(f"_{f}")) for f in features), F.lit(0.0))
-    pairs = placed.join(other, "_c").where("base <> neighbour").withColumn("d", distance)
-    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("d", "neighbour"))).where(F.col("place") <= k)
-    listed = near.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("place", "neighbour", *[F.col(f"_{f}") for f in features]))).alias("near"))  # k at most
+    minority = df.where(F.col(label) == minor)
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    rows = minority.select(F.col(id_col).alias("base"), vector.alias("v"))
+    near = nearest(minority, minority, id_col, features, k, seed=seed)
+    listed = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "neighbour"))).alias("near"))  # k at most
     more = rows.select("base").orderBy(F.xxhash64(F.lit(seed), "base"), "base").limit(lack % max(counts[minor], 1)).withColumn("one", F.lit(1))
-    own = F.struct(F.lit(1).alias("place"), F.col("base").alias("neighbour"), *[F.col(f).alias(f"_{f}") for f in features])
-    turns = rows.join(listed, "base", "left").join(more, "base", "left").select(
-        "base", *features, F.coalesce("near", F.array(own)).alias("near"), (F.lit(lack // max(counts[minor], 1)) + F.coalesce("one", F.lit(0))).alias("turns")
+    turns = rows.join(listed, F.col("base") == F.col("query"), "left").join(more, "base", "left").select(
+        "base", "v", "near", (F.lit(lack // max(counts[minor], 1)) + F.coalesce("one", F.lit(0))).alias("turns")
     )
     drawn = turns.where("turns > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("turns"))))
     pick = F.element_at("near", (F.pmod(F.xxhash64(F.lit(seed), "base", "copy"), F.size("near")) + 1).cast("int"))
-    drawn = drawn.withColumn("x", pick).select("base", "copy", *features, "x.*")
+    drawn = drawn.select("base", "copy", "v", F.when(F.size("near") > 0, pick["neighbour"]).otherwise(F.col("base")).alias("neighbour"))
+    other = rows.select(F.col("base").alias("neighbour"), F.col("v").alias("w"))
     gap = F.pmod(F.xxhash64(F.lit(seed + 1), "base", "copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return drawn.select("base", "neighbour", *[(F.col(f) + gap * (F.col(f"_{f}") - F.col(f))).alias(f) for f in features])
+    made = drawn.join(other, "neighbour").select("base", "copy", "neighbour", *[(F.col("v")[i] + gap * (F.col("w")[i] - F.col("v")[i])).alias(f) for i, f in enumerate(features)])
+    if not group:
+        return made.select("base", "neighbour", *features)
+    # Written, as its ids are asked for twice.
+    named = materialize(made.withColumn("_new", F.concat(F.lit("n"), F.col("base").cast("string"), F.lit("-"), F.col("copy").cast("string"))), "smote")
+    old = minority.withColumn("_new", F.concat(F.lit("o"), F.col(id_col).cast("string")))
+    closest = nearest(named, old, "_new", features, 1, seed=seed).select(F.col("query").alias("_new"), "neighbour")
+    groups = old.select(F.col("_new").alias("_near"), group).dropDuplicates(["_near"])
+    owned = closest.join(groups, F.col("neighbour") == F.col("_near")).select("_new", group)
+    return named.join(owned, "_new").select("base", "neighbour", *features, group)
 
 
 def label_summary(df: DataFrame, dataset: str, label: str, subject: str) -> DataFrame:
