@@ -7,11 +7,15 @@ ranges and over the ranges' sums, so no task sorts all rows; rows of equal score
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import correlation
+from tidemark.functions.shared import materialize
 
 RANGES = 256
 
@@ -132,7 +136,10 @@ def calibration_curve(df: DataFrame, prob: str, label: str, bins: int | None = N
     """(bin, n, mean_prob, share): quantile bins by Sturges' rule; equal edges merge."""
     if bins is None:
         bins = math.ceil(math.log2(max(df.count(), 1))) + 1
-    edges = df.agg(F.percentile(prob, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    from .quantiles import exact_quantiles
+
+    found = exact_quantiles(df, {"p": prob}, [i / bins for i in range(1, bins)]) if bins > 1 else df.sparkSession.createDataFrame([], "value double")
+    edges = found.agg(F.sort_array(F.collect_list("value")).alias("_e"))  # an edge a bin
     placed = df.crossJoin(F.broadcast(edges))  # one row
     at = F.size(F.filter("_e", lambda e: e < F.col(prob))).alias("bin")
     return placed.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_prob"), F.avg(F.col(label).cast("double")).alias("share"))
@@ -154,27 +161,108 @@ def wrong_nights(df: DataFrame, key: str, prob: str, label: str, threshold: floa
     return df.groupBy(key).agg(F.sum(wrong).alias("wrong")).where("wrong > 0")
 
 
-def bootstrap(df: DataFrame, score: str, label: str, resamples: int = 200, threshold: float = 0.5, seed: int = 42) -> DataFrame:
-    """(metric, mean, sd, lower, upper): balanced accuracy and accuracy over Poisson(1) resamples inside each class.
+#: The seven metrics, in order.
+METRICS = ("accuracy", "precision", "recall", "f1", "average_precision", "roc_auc", "balanced_accuracy")
+
 
-    A row's weight in a resample comes from a hash of seed, row and resample, so reruns agree; rows
-    are reduced to (score side, label) cells within each resample before any shuffle.
+def metric_suite(df: DataFrame, score: str, label: str, threshold: float = 0.5, keys: list[str] = ()) -> DataFrame:
+    """(keys, the seven METRICS, mean, sd): one row a key, with the mean and population deviation of the seven.
+
+    Rows without a score or label take no part; undefined ratios are 0, and areas are null where a
+    class is absent (then mean and sd are null too).
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("_row"), F.col("b")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    poisson, edge, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        edge += p / math.factorial(k)
-        poisson = poisson + (u >= edge).cast("int")
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    hit = F.col(score) >= threshold
-    cells = rows.groupBy("b").agg(*[F.sum(F.when((hit == F.lit(h)) & (F.col(label) == y), poisson).otherwise(0)).alias(f"c{int(h)}{y}") for h in (True, False) for y in (0, 1)])
-    sens, spec = safe(F.col("c11"), F.col("c11") + F.col("c01")), safe(F.col("c00"), F.col("c00") + F.col("c10"))
-    n = F.col("c11") + F.col("c01") + F.col("c00") + F.col("c10")
-    metrics = {"balanced_accuracy": (sens + spec) / 2, "accuracy": safe(F.col("c11") + F.col("c00"), n)}
-    each = cells.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in metrics.items()])).alias("x"))
-    return each.groupBy(F.col("x.metric").alias("metric")).agg(
-        F.avg("x.v").alias("mean"), F.stddev_samp("x.v").alias("sd"), F.percentile("x.v", F.lit(0.025)).alias("lower"), F.percentile("x.v", F.lit(0.975)).alias("upper")
+    keys = list(keys)
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = confusion(rows, score, label, threshold, keys)
+    c = curve(rows, score, label, keys).withColumnsRenamed({"pos": "_pos", "neg": "_neg"})
+    wins = F.sum(F.col("_pos") * (F.col("n") - F.col("fp") + F.col("_neg") / 2))
+    both = (F.max("p") > 0) & (F.max("n") > 0)
+    gained = F.sum(F.when(F.col("p") > 0, F.col("_pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    areas = c.groupBy(*keys).agg(F.when(both, wins / (F.max("p") * F.max("n"))).alias("roc_auc"), F.when(both, gained).alias("average_precision"))
+    joined = counts.join(areas, keys) if keys else counts.crossJoin(F.broadcast(areas))  # one row
+    values = [F.col(m) for m in METRICS]
+    mean = sum(values[1:], values[0]) / len(values)
+    spread = F.sqrt(sum(((v - mean) * (v - mean) for v in values[1:]), (values[0] - mean) * (values[0] - mean)) / len(values))
+    return joined.select(*keys, *METRICS, mean.alias("mean"), spread.alias("sd"))
+
+
+#: Resampled counts that a task holds at a time.
+RESAMPLED = 1 << 21
+
+
+def _draw(rng: np.random.Generator, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each of ``n`` a multinomial draw of so many over the weights; all zero where the weights are."""
+    total = weights.sum()
+    if not total:
+        return np.zeros((len(n), len(weights)), np.int64)
+    return rng.multinomial(n, weights / total)
+
+
+def bootstrap(df: DataFrame, score: str, label: str, resamples: int = 2000, threshold: float = 0.5, seed: int = 42, ranges: int = RANGES) -> DataFrame:
+    """(metric, point, mean, sd, margin, lower, upper) of the seven METRICS over resamples that keep the size of each class.
+
+    Resampling rows is drawing counts of the distinct (score, label) cells: first how many rows of each
+    class fall into each range of scores, then inside each range how many have each score.  A
+    range's task draws the ranges' counts of all resamples from the same seed, so it knows what lies
+    above it; its part of each curve is summed with the others'.  Draws depend on the seed and the
+    distinct scores alone, not on partitioning.  The interval is Student's t of the resamples' mean
+    at 95 %.  Rows without a score or label take no part; with one class there is no row.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    counts = rows.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
+    counts = materialize(counts, "scores")
+    # Ranges of nearly equal numbers of distinct scores, however they are spread.
+    cuts = counts.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first().c or []
+    cuts = np.unique(np.array(cuts, dtype=float))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(range=np.searchsorted(cuts, pdf["score"].to_numpy(), side="left").astype(np.int32))
+
+    placed = counts.mapInPandas(place, "score double, pos long, neg long, range int")
+    sums = placed.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy(F.desc("range")).toPandas()  # a row a range
+    p, n = int(sums["pos"].sum()), int(sums["neg"].sum())
+    schema = "b int, tp long, fp long, auc double, ap double"
+    names = "metric string, point double, mean double, sd double, margin double, lower double, upper double"
+    if not p or not n:
+        return df.sparkSession.createDataFrame([], names)
+    order = {r: i for i, r in enumerate(sums["range"].tolist())}
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score", ascending=False)
+        at = order[int(pdf["range"].iloc[0])]
+        top = np.random.default_rng([seed, 0])
+        pos_of = _draw(top, np.full(resamples, p), sums["pos"].to_numpy(float))
+        neg_of = _draw(top, np.full(resamples, n), sums["neg"].to_numpy(float))
+        above_pos, above_neg = pos_of[:, :at].sum(1), neg_of[:, :at].sum(1)
+        hit = pdf["score"].to_numpy() >= threshold
+        rng, out = np.random.default_rng([seed, 1, at]), []
+        step = max(1, RESAMPLED // len(pdf))
+        for lo in range(0, resamples, step):
+            b = slice(lo, min(lo + step, resamples))
+            pos = _draw(rng, pos_of[b, at], pdf["pos"].to_numpy(float))
+            neg = _draw(rng, neg_of[b, at], pdf["neg"].to_numpy(float))
+            tp, fp = pos.cumsum(1) + above_pos[b, None], neg.cumsum(1) + above_neg[b, None]
+            auc = (pos * (n - fp + neg / 2)).sum(1) / (p * n)
+            ap = (pos / p * (tp / np.maximum(tp + fp, 1))).sum(1)
+            out.append(pd.DataFrame({"b": np.arange(b.start, b.stop, dtype=np.int32), "tp": pos[:, hit].sum(1), "fp": neg[:, hit].sum(1), "auc": auc, "ap": ap}))
+        return pd.concat(out)
+
+    each = placed.groupBy("range").applyInPandas(part, schema).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "auc", "ap")])
+    tp, fp = F.col("tp"), F.col("fp")
+    recall, precision, rejected = tp / p, safe(tp, tp + fp), 1 - fp / n
+    formulas = {
+        "accuracy": (tp + n - fp) / (p + n), "precision": precision, "recall": recall, "f1": safe(2 * tp, tp + fp + p), "average_precision": F.col("ap"), "roc_auc": F.col("auc"),
+        "balanced_accuracy": (recall + rejected) / 2,
+    }
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), formulas[m].cast("double").alias("v")) for m in METRICS])).alias("x")).select("x.*")
+    margin = t_quantiles(F.count("v") - 1) * F.stddev_samp("v") / F.sqrt(F.count("v"))
+    found = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), margin.alias("margin"))
+    points = metric_suite(rows, score, label, threshold)
+    points = points.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in METRICS])).alias("x")).select("x.*")
+    return found.join(points, "metric").select("metric", "point", "mean", "sd", "margin", (F.col("mean") - F.col("margin")).alias("lower"), (F.col("mean") + F.col("margin")).alias("upper"))
 
 
 def _t_tail(t: float, freedom: int) -> float:

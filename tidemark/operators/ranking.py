@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import correlation, quantile
+from tidemark.functions.columns import correlation
 
 from .evaluation import running_totals
+from .quantiles import quantile_columns
 from .windows import rank_max
 
 SCALE_FLOOR = 1e-8
 
 
 def scale_parameters(df: DataFrame, features: list[str], method: str, keys: list[str] = ()) -> DataFrame:
-    """A row for each key: <feature>_c (centre) and <feature>_s (scale, 1 for none) of standard, minmax or robust scaling."""
-    forms = {
-        "standard": lambda f: (F.avg(f), F.stddev_pop(f)),
-        "minmax": lambda f: (F.min(f), F.max(f) - F.min(f)),
-        "robust": lambda f: (quantile(f, 0.5), quantile(f, 0.75) - quantile(f, 0.25)),
-    }
+    """A row for each key: <feature>_c (centre) and <feature>_s (scale, 1 for none) of standard, minmax or robust scaling.
+
+    Robust scaling takes exact quantiles, see :mod:`.quantiles`.
+    """
+    if method == "robust":
+        wanted = {f"{f}_{int(100 * q)}": (f, q) for f in features for q in (0.25, 0.5, 0.75)}
+        found = quantile_columns(df, wanted, list(keys))
+        forms = [(f, F.col(f"{f}_50"), F.col(f"{f}_75") - F.col(f"{f}_25")) for f in features]
+        return found.select(*keys, *[c for f, centre, s in forms for c in (centre.alias(f"{f}_c"), F.when(s > SCALE_FLOOR, s).otherwise(F.lit(1.0)).alias(f"{f}_s"))])
+    forms = {"standard": lambda f: (F.avg(f), F.stddev_pop(f)), "minmax": lambda f: (F.min(f), F.max(f) - F.min(f))}
     out = []
     for f in features:
         c, s = forms[method](f)
@@ -96,12 +101,14 @@ def redundancy(df: DataFrame, features: list[str]) -> DataFrame:
 
 def scaled_variance(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, variance, median) after min-max scaling; a feature without spread has variance 0."""
-    cells = []
-    for f in features:
-        span = F.max(f) - F.min(f)
-        cells.append(F.struct(F.lit(f).alias("feature"), F.when(span > 0, F.var_pop(f) / (span * span)).otherwise(F.lit(0.0)).alias("variance"),
-                              F.when(span > 0, (quantile(f, 0.5) - F.min(f)) / span).otherwise(F.lit(0.0)).alias("median")))
-    return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    middle = quantile_columns(df, {f"_m{i}": (f, 0.5) for i, f in enumerate(features)})
+    cells, sums = [], []
+    for i, f in enumerate(features):
+        sums += [F.min(f).alias(f"_l{i}"), (F.max(f) - F.min(f)).alias(f"_s{i}"), F.var_pop(f).alias(f"_v{i}")]
+        low, span, wide = F.col(f"_l{i}"), F.col(f"_s{i}"), F.col(f"_s{i}") > 0
+        cells.append(F.struct(F.lit(f).alias("feature"), F.when(wide, F.col(f"_v{i}") / (span * span)).otherwise(F.lit(0.0)).alias("variance"),
+                              F.when(wide, (F.col(f"_m{i}") - low) / span).otherwise(F.lit(0.0)).alias("median")))
+    return df.agg(*sums).crossJoin(F.broadcast(middle)).select(F.explode(F.array(*cells)).alias("x")).select("x.*")  # one row each
 
 
 def ranked(scores: DataFrame, value: Column, name: str = "rank") -> DataFrame:
