@@ -52,9 +52,13 @@ def test_thresholds_by_name(spark, rows):
 
 
 def test_seeds_are_unique_and_settings_typed():
-    s = R.seed_schedule(0, 5, 5)
-    assert list(s) == [0, 1, 2, 3, 4] and s[1] == [35, 36, 37, 38, 39]
-    assert R.seed_schedule(42, 1, 5) == {42: [420, 421, 422, 423, 424]}
+    for seed, repeats, folds in ((0, 5, 5), (42, 1, 5), (7, 2, 20), (1, 3, 15), (123456789, 50, 50), (-3, 2, 2)):
+        s = R.seed_schedule(seed, repeats, folds)
+        assert len(s) == repeats and all(len(v) == folds for v in s.values())
+        every = [*s, *(x for v in s.values() for x in v)]
+        assert len(set(every)) == repeats * (folds + 1) and all(0 <= x < 1 << 31 for x in every)
+        assert s == R.seed_schedule(seed, repeats, folds) and s != R.seed_schedule(seed + 1, repeats, folds)
+    assert list(R.seed_schedule(5, 9, 3))[:4] == list(R.seed_schedule(5, 4, 8))
     space = {"numTrees": [20, 50], "stepSize": [0.05, 0.1], "kind": ["a", "b"]}
     assert R.format_setting({"numTrees": 31.6, "stepSize": 0.123456, "kind": "a", "x": 1}, space) == {"numTrees": 32, "stepSize": 0.1235, "kind": "a", "x": 1}
     with pytest.raises(ValueError, match="kind"):

@@ -6,7 +6,10 @@ null scores are left out of means, repeated rows count each.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
+import struct
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +17,23 @@ from pyspark.sql import functions as F
 
 
 def seed_schedule(seed: int, repeats: int, folds: int) -> dict[int, list[int]]:
-    """Outer seeds, one a repeat, each with an inner seed for every fold; no seed occurs twice."""
-    step = max(10, 10 ** (math.ceil(math.log10(repeats * folds)) - 1))
-    shift = repeats * folds if seed == 0 else 0
-    out = {s: list(range(shift + s * step, shift + s * step + folds)) for s in range(seed, seed + repeats)}
-    used = [*out, *(s for inner in out.values() for s in inner)]
-    if len(set(used)) < len(used):
-        raise ValueError(f"seed {seed} gives repeated seeds for {repeats} repeats of {folds} folds")
-    return out
+    """Outer seeds, one a repeat, each with an inner seed for every fold; no seed occurs twice.
+
+    A seed is 31 bits of a hash of what it is for, drawn again where it was drawn before.  More
+    repeats or folds leave the earlier repeats' outer seeds as they are, but for such draws.
+    """
+    taken: set[int] = set()
+
+    def draw(*use: int) -> int:
+        for attempt in itertools.count():
+            words = struct.pack(f"<{len(use) + 2}q", seed, attempt, *use)
+            value = int.from_bytes(hashlib.blake2b(words, digest_size=4).digest(), "little") >> 1
+            if value not in taken:
+                taken.add(value)
+                return value
+
+    outer = [draw(r) for r in range(repeats)]
+    return {s: [draw(r, f) for f in range(folds)] for r, s in enumerate(outer)}
 
 
 def format_setting(setting: dict, space: dict[str, list], decimals: int = 4) -> dict:
