@@ -38,11 +38,12 @@ def chunked(df: DataFrame, key: str, ts: str, f: Callable[[pd.DataFrame], pd.Dat
     return spread.groupBy(key, "_chunk").applyInPandas(run, schema)
 
 
-def butterworth_filter(df: DataFrame, key: str, ts: str, axes: list[str], fs: float, low: float | None = None, high: float | None = None, order: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """Zero-phase filtered axes; other columns unchanged."""
-    sections = dsp.butterworth(order, low, high, fs)
+def butterworth_filter(df: DataFrame, key: str, ts: str, axes: list[str], fs: float | str, low: float | None = None, high: float | None = None, order: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """Zero-phase filtered axes; other columns unchanged.  ``fs`` is the rate of all recordings, or the column that has each one's."""
+    fixed = None if isinstance(fs, str) else dsp.butterworth(order, low, high, fs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sections = dsp.butterworth(order, low, high, float(pdf[fs].iloc[0])) if fixed is None else fixed
         pdf[axes] = dsp.zero_phase(pdf[axes].to_numpy(float), sections)
         return pdf
 
@@ -50,16 +51,23 @@ def butterworth_filter(df: DataFrame, key: str, ts: str, axes: list[str], fs: fl
     return chunked(df, key, ts, run, schema, chunk)
 
 
-def forward_medians(df: DataFrame, key: str, ts: str, axes: list[str], width: int, fs: float, chunk: int = CHUNK) -> DataFrame:
-    """Medians of each row and the ``width - 1`` after it at the raw rate; null where the recording ends before."""
+def forward_medians(df: DataFrame, key: str, ts: str, axes: list[str], width: int | None, fs: float | str, chunk: int = CHUNK, seconds: int = 5) -> DataFrame:
+    """Medians of each row and the ``width - 1`` after it at the raw rate; null where the recording ends before.
+
+    Where ``fs`` is a column of rates, the width is that of ``seconds``.
+    """
+    own = isinstance(fs, str)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = max(1, int(float(pdf[fs].iloc[0]) * seconds)) if own else width
         for a in axes:
-            pdf[a] = pdf[a].iloc[::-1].rolling(width).median().iloc[::-1]
+            pdf[a] = pdf[a].iloc[::-1].rolling(rows).median().iloc[::-1]
         return pdf
 
     schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in axes else f.dataType) for f in df.schema])
-    return chunked(df, key, ts, run, schema, chunk, before=0, after=int((width + 1) * SECOND / fs) + SECOND)
+    # A recording's own width spans its seconds and one sample, whatever the rate from a tenth of a hertz on.
+    after = (seconds + 11) * SECOND if own else int((width + 1) * SECOND / fs) + SECOND
+    return chunked(df, key, ts, run, schema, chunk, before=0, after=after)
 
 
 def spectral_schema(key: str, kind: str) -> str:

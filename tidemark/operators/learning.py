@@ -30,8 +30,9 @@ def pipeline(kind: str, features: list[str], label: str, **parameters) -> Pipeli
     if kind not in LEARNERS:
         raise ValueError(f"unknown model {kind}")
     stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)]
-    learner = LEARNERS[kind](featuresCol="_x", labelCol=label, predictionCol="_p", rawPredictionCol="_margin", **parameters)
-    return Pipeline(stages=[*stages, learner])
+    learner = LEARNERS[kind](featuresCol="_x", labelCol=label, predictionCol="_p", **parameters)
+    # Not every learner takes it as an argument.
+    return Pipeline(stages=[*stages, learner.setRawPredictionCol("_margin")])
 
 
 def probabilities(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:

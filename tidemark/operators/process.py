@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsp
 from tidemark.functions.columns import HOUR, MINUTE, SECOND, micros
-from tidemark.functions.shared import materialize
+from tidemark.functions.shared import materialize, remove_tables
 
 from . import kernels
 from . import segments as S
@@ -63,11 +63,15 @@ def non_wear(df: DataFrame, width: int = 10 * SECOND, still: float = 0.015, long
     return W.nonwear(W.tumbling_windows(df, KEY, TS, width, AXES), KEY, AXES, still, longest)
 
 
-def angle_changes(df: DataFrame, fs: float, epoch_s: int = 5) -> DataFrame:
-    """(recording_id, epoch, us, change): mean z angle of forward-median axes for each epoch of rows, and its absolute step."""
-    n = int(fs * epoch_s)
+def angle_changes(df: DataFrame, fs: float | str, epoch_s: int = 5) -> DataFrame:
+    """(recording_id, epoch, us, change): mean z angle of forward-median axes for each epoch of rows, and its absolute step.
+
+    ``fs`` is the rate of all recordings, or the column that has each one's.
+    """
+    own = isinstance(fs, str)
     first = df.groupBy(KEY).agg(F.min(TS).alias("_first"))
-    medians = kernels.forward_medians(df.select(KEY, TS, *AXES), KEY, TS, AXES, n, fs).dropna()
+    rows = df.select(KEY, TS, *AXES, *([fs] if own else []))
+    medians = kernels.forward_medians(rows, KEY, TS, AXES, None if own else int(fs * epoch_s), fs, seconds=epoch_s).dropna()
     step = int(epoch_s * SECOND)
     at = medians.join(first, KEY).withColumn("epoch", F.floor((F.col(TS) - F.col("_first")) / step))
     angle = at.groupBy(KEY, "_first", "epoch").agg(F.avg(W.z_angle(*[F.col(a) for a in AXES])).alias("angle"))
@@ -115,27 +119,33 @@ def movement_bouts(df: DataFrame, nights: DataFrame, gap: int = SECOND, threshol
 
 
 def process(
-    df: DataFrame, fs: float, *, resample: bool = False, lowpass_hz: float | None = 20.0, highpass_hz: float | None = 0.8, calibrated: bool = True,
+    df: DataFrame, fs: float | str, *, resample: bool = False, lowpass_hz: float | None = 20.0, highpass_hz: float | None = 0.8, calibrated: bool = True,
     nonwear: bool = True, sleep: bool = True, max_days: float | None = 21.0,
 ) -> dict[str, DataFrame]:
     """Tables of a cohort's recordings: ``series`` (annotated), and with sleep ``windows``, ``nights``, ``sleep_bouts``, ``bouts``, ``stats``.
 
-    Only the steps that are asked for run; without non-wear detection everything counts as worn.
+    ``fs`` is the rate of all recordings, or the column of ``df`` that has each one's (then nothing
+    is resampled here; :mod:`.recordings` does that).  Only the steps that are asked for run; without non-wear detection everything counts as worn.
     Filtered and calibrated rows, intervals and annotated rows are written to the shared folder once
-    each, so no signal kernel runs twice.
+    each, so no signal kernel runs twice; tables that no result reads are removed at the end.
     """
+    if resample and isinstance(fs, str):
+        raise ValueError("resampling here needs one rate")
     rows = W.truncate_days(df, KEY, TS, max_days) if max_days else df
     if resample:
         rows = W.nearest_resample(rows, KEY, TS, AXES, round(SECOND / fs)).select(KEY, F.col("tick_us").alias(TS), *AXES)
     if lowpass_hz:
         rows = kernels.butterworth_filter(rows, KEY, TS, AXES, fs, high=lowpass_hz)
-    out = {}
+    out, spent = {}, []
     if calibrated:
         rows = materialize(rows, "filtered")
+        spent.append(rows)
         out["calibration"] = materialize(calibration(rows), "calibration")
         rows = calibrate(rows, out["calibration"])
     gravity = rows = materialize(rows, "gravity")
     off = materialize(non_wear(gravity), "nonwear") if nonwear else None
+    if sleep:
+        spent += [gravity, *([off] if nonwear else [])]
     if highpass_hz:
         rows = kernels.butterworth_filter(rows, KEY, TS, AXES, fs, low=highpass_hz)
     rows = S.in_intervals(rows, off, KEY, TS, "_off").withColumn("wear", ~F.col("_off")).drop("_off") if nonwear else rows.withColumn("wear", F.lit(True))
@@ -143,6 +153,7 @@ def process(
         rows = materialize(rows, "worn")
         changes = materialize(angle_changes(gravity, fs), "changes")
         windows = materialize(sleep_windows(changes), "windows")
+        spent += [rows, changes, windows]
         short = windows.where(F.col("end_us") - F.col("start_us") <= 16 * HOUR)
         calm = materialize(sleep_bouts(changes, short), "calm")
         if nonwear:
@@ -162,4 +173,5 @@ def process(
         final = materialize(S.runs(rows, KEY, TS, F.col("sptw")), "sptw")
         nights = materialize(S.select_nights(final, KEY), "nights")
         out |= {"windows": final, "nights": nights, "sleep_bouts": calm, "bouts": movement_bouts(rows, nights), "stats": S.window_stats(final, calm, KEY)}
+        remove_tables(*spent)
     return out | {"series": rows}

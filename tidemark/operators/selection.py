@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .windows import target_rate
+
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, incomplete, share) of the table: rows that lack a value (null or NaN) in any of the columns; the share of an empty table is 0."""
@@ -116,13 +118,32 @@ def attach_night_metadata(features: DataFrame, bouts: DataFrame, keys: list[str]
     return single.join(once.select(*keys, *clash), keys, "left")
 
 
-def resample_decisions(rates: DataFrame, key: str, data_hz: str, uniform: str, wanted_hz: float | None = None) -> DataFrame:
-    """(key, resample, hz): only series of uneven steps, or even ones with another rate than the wanted, are resampled."""
-    target = F.coalesce(F.lit(wanted_hz).cast("double"), F.col(data_hz))
-    return rates.select(key, (~F.col(uniform) | (target != F.col(data_hz))).alias("resample"), target.alias("hz"))
+def resample_decisions(rates: DataFrame, key: str, data_hz: str, uniform: str, wanted: float | str | None = "infer", header_hz: str | None = None) -> DataFrame:
+    """(key, resample, hz): whether a series is put on an even grid, and at which rate.
+
+    ``wanted`` is a rate, ``infer`` (the multiple of ten near the data's rate, see
+    :func:`.windows.target_rate`) or None.  A target that differs from the header's rate by over 10 %
+    of it gives way to that rate.  Series of uneven steps are resampled unless nothing is wanted, even
+    ones only where a rate is wanted that isn't the data's to within rounding (a part in 100,000).
+    Without a target there is nothing to resample to.
+    """
+    data = F.col(data_hz)
+    if wanted is None:
+        return rates.select(key, F.lit(False).alias("resample"), data.cast("double").alias("hz"))
+    infer = wanted == "infer"
+    header = F.col(header_hz) if header_hz else F.lit(None).cast("double")
+    target = target_rate(data) if infer else F.lit(float(wanted))
+    target = F.when(F.abs(header - target) > 0.1 * header, header).otherwise(F.coalesce(target, header))
+    near = F.lit(True) if infer else F.coalesce(F.abs(data - float(wanted)) <= 1e-8 + 1e-5 * abs(float(wanted)), F.lit(False))
+    return rates.select(key, ((~F.col(uniform) | ~near) & target.isNotNull()).alias("resample"), target.alias("hz"))
 
 
 def final_rate(rates: DataFrame, key: str, data_hz: str, header_hz: str) -> DataFrame:
-    """(key, hz, differs): the rate of the data, else of the header; ``differs`` where both are known and unequal."""
+    """(key, hz, differs): the rate of the data, else of the header; ``differs`` where both are known and unequal.
+
+    A recording of which neither is known is an error when the rates are computed.
+    """
     differs = F.coalesce(F.col(data_hz) != F.col(header_hz), F.lit(False))
-    return rates.select(key, F.coalesce(data_hz, header_hz).alias("hz"), differs.alias("differs"))
+    none = F.raise_error(F.concat(F.lit("no sample rate is known of "), F.col(key).cast("string"))).cast("double")
+    hz = F.when(F.col(data_hz).isNull() & F.col(header_hz).isNull(), none).otherwise(F.coalesce(data_hz, header_hz))
+    return rates.select(key, hz.alias("hz"), differs.alias("differs"))

@@ -93,19 +93,22 @@ def nonwear(windows: DataFrame, key: str, axes: list[str], limit: float, min_len
     return found.where(F.col("end_us") - F.col("start_us") > min_length).drop("_g")
 
 
-def nearest_resample(df: DataFrame, key: str, ts: str, values: list[str], step: int, bucket: int = DAY) -> DataFrame:
+def nearest_resample(df: DataFrame, key: str, ts: str, values: list[str], step: int | DataFrame, bucket: int = DAY) -> DataFrame:
     """A row for each tick from a recording's first time on, with the values of the nearest row; equally near: the earlier.
 
-    Ticks and rows are cut into buckets; a bucket's edge rows are the last ones before it and the
+    ``step`` is the time between ticks, or a table (key, step_us) of it; recordings that such a
+    table lacks give no rows.  Ticks and rows are cut into buckets; a bucket's edge rows are the last ones before it and the
     first ones after it, so long recordings are many tasks and gaps of any length are bridged.
     """
     rows = df.select(key, col(ts).alias("_t"), F.struct(col(ts).alias("t"), *values).alias("_v")).withColumn("_b", F.floor(F.col("_t") / bucket))
     bounds = df.groupBy(key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    bounds = bounds.join(step.select(key, F.col("step_us").cast("long").alias("_step")), key) if isinstance(step, DataFrame) else bounds.withColumn("_step", F.lit(step).cast("long"))
+    step = F.col("_step")
     # Ticks are made bucket by bucket, so that no row holds a recording's whole grid.
-    spans = bounds.select(key, "_first", "_last", F.explode(F.sequence(F.floor(F.col("_first") / bucket), F.floor(F.col("_last") / bucket))).alias("_b"))
+    spans = bounds.select(key, "_first", "_last", "_step", F.explode(F.sequence(F.floor(F.col("_first") / bucket), F.floor(F.col("_last") / bucket))).alias("_b"))
     low = F.greatest(F.ceil((F.col("_b") * bucket - F.col("_first")) / step), F.lit(0))
     high = F.floor((F.least(F.col("_b") * bucket + (bucket - 1), F.col("_last")) - F.col("_first")) / step)
-    ticks = spans.where(low <= high).select(key, "_first", "_b", F.explode(F.sequence(low, high)).alias("tick"))
+    ticks = spans.where(low <= high).select(key, "_first", "_step", "_b", F.explode(F.sequence(low, high)).alias("tick"))
     ticks = ticks.select(key, F.col("tick").cast("long").alias("tick"), (F.col("_first") + F.col("tick") * step).cast("long").alias("_t"), "_b")
     edges = rows.groupBy(key, "_b").agg(F.min(F.struct("_t", "_v")).alias("lo"), F.max(F.struct("_t", "_v")).alias("hi"))
     both = edges.join(ticks.select(key, "_b").distinct(), [key, "_b"], "full")

@@ -38,5 +38,5 @@ def _load() -> None:
 
 
 #: Modules that register queries.
-MODULES = ["series_queries", "feature_queries", "evaluation_queries", "cohort_queries", "selection_queries", "result_queries", "other_queries"]
+MODULES = ["series_queries", "feature_queries", "evaluation_queries", "cohort_queries", "selection_queries", "result_queries", "other_queries", "recording_queries", "matrix_queries"]
 _load()

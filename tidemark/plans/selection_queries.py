@@ -67,14 +67,14 @@ def split_sets(spark, sf_dir):
 
 @register(
     "split_problems",
-    """WITH s AS (SELECT l_orderkey % 7 AS split, l_partkey % 40 - 2 AS i, CASE WHEN l_orderkey % 7 = 3 OR l_linenumber % 3 > 0 THEN 'train' ELSE 'test' END AS role FROM lineitem WHERE l_orderkey < 200)
+    """WITH s AS (SELECT l_orderkey % 7 AS split, l_partkey % 40 - 2 AS i, CASE WHEN l_orderkey % 7 = 3 OR l_linenumber % 3 > 0 THEN 'train' ELSE 'test' END AS role FROM lineitem)
 SELECT split, 'repeated' AS problem, count(*) AS n FROM (SELECT split, role, i FROM s GROUP BY ALL HAVING count(*) > 1) GROUP BY split
 UNION ALL SELECT split, 'outside', count(*) FROM s WHERE i < 0 OR i >= 35 GROUP BY split
 UNION ALL SELECT split, 'in_both', count(*) FROM (SELECT split, i FROM s GROUP BY ALL HAVING count(DISTINCT role) > 1) GROUP BY split
 UNION ALL SELECT split, 'lacks_a_role', 1 FROM s GROUP BY split HAVING count(DISTINCT role) < 2""",
 )
 def split_problems(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
+    li = table(spark, sf_dir, "lineitem")
     train = (F.col("l_orderkey") % 7 == 3) | (F.col("l_linenumber") % 3 > 0)
     s = li.select((F.col("l_orderkey") % 7).alias("split"), (F.col("l_partkey") % 40 - 2).alias("i"), F.when(train, "train").otherwise("test").alias("role"))
     return X.split_problems(s, "i", "split", "role", 35)
@@ -94,22 +94,6 @@ def night_metadata(spark, sf_dir):
     return X.attach_night_metadata(features, bouts.where("night < 5"), ["id", "night"], ["segment"])
 
 
-@register("resample_decision", "SELECT s_suppkey, s_suppkey % 3 = 0 OR s_suppkey % 5 <> 2 AS resample, 2.0::DOUBLE AS hz FROM supplier")
-def resample_decision(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).cast("double").alias("hz"), (F.col("s_suppkey") % 3 != 0).alias("even"))
-    return X.resample_decisions(s, "s_suppkey", "hz", "even", 2.0)
-
-
-@register(
-    "final_rate",
-    """SELECT s_suppkey, (CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 5 ELSE s_suppkey % 4 END)::DOUBLE AS hz, s_suppkey % 5 > 0 AND s_suppkey % 5 <> s_suppkey % 4 AS differs FROM supplier""",
-)
-def final_rate(spark, sf_dir):
-    k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 5 > 0, (k % 5).cast("double")).alias("d"), (k % 4).cast("double").alias("h"))
-    return X.final_rate(s, "s_suppkey", "d", "h")
-
-
 @register("set_operations", "SELECT 'both' AS kind, c_nationkey AS k FROM (SELECT c_nationkey FROM customer WHERE c_nationkey < 15 INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'only', c_nationkey FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 9)")
 def set_operations(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer").select("c_nationkey"), table(spark, sf_dir, "supplier").select("s_nationkey")
