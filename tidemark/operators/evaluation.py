@@ -81,7 +81,8 @@ def pr_operating_points(c: DataFrame, keys: list[str] = ()) -> DataFrame:
 def macro_balanced_accuracy(df: DataFrame, score: str, label: str, group: str, grid: int = 401, weighted: bool = False) -> DataFrame:
     """(threshold, macro_ba) of all candidates: an even grid of 0 .. 1 and the distinct scores; mean over groups of balanced accuracy.
 
-    Groups with one class don't count; ``weighted`` weights by rows.  Candidates and rows are put
+    Groups with one class don't count; ``weighted`` weights a group by the square of its rows (each of its
+    rows weighs as much as the group has rows, as users of these names expect).  Candidates and rows are put
     in one running total for each group, never every candidate against every row.
     """
     rows = df.select(F.col(group).alias("g"), F.col(score).cast("double").alias("score"), F.col(label).alias("y"))
@@ -93,7 +94,8 @@ def macro_balanced_accuracy(df: DataFrame, score: str, label: str, group: str, g
     full = at.join(points, ["g", "score"], "left").fillna(0, ["pos", "neg"])
     cum = running_totals(full, ["g"], "score", ["pos", "neg"]).join(both, "g")
     ba = (F.col("cum_pos") / F.col("p") + 1 - F.col("cum_neg") / F.col("n")) / 2
-    weight = F.col("p") + F.col("n") if weighted else F.lit(1)
+    size = F.col("p") + F.col("n")
+    weight = size * size if weighted else F.lit(1)
     return cum.groupBy(F.col("score").alias("threshold")).agg((F.sum(ba * weight) / F.sum(weight)).alias("macro_ba"))
 
 

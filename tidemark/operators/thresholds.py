@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import materialize
+
 from . import evaluation as V
 
 BASE = ("roc_dist", "pr_dist", "pr_f1")
@@ -52,15 +54,48 @@ def choose_threshold(df: DataFrame, score: str, label: str, name: str, dataset:
     return each.agg((F.avg("threshold") if combine == "mean" else F.median("threshold")).alias("threshold"))  # a row for each data set
 
 
-def night_and_patient_thresholds(nights: DataFrame, key: str, score: str, label: str, name: str, dataset: str) -> DataFrame:
-    """(level, name, threshold) of nights and of patients, whose score is the mean of their nights'."""
+def _levels(nights: DataFrame, key: str, score: str, label: str, dataset: str) -> dict[str, DataFrame]:
+    """(score, label, dataset) rows of nights and of patients, whose score is the mean of their nights'."""
     votes = V.patient_votes(nights, key, score, label).select(key, F.col("mean_prob").alias(score), F.col("ground_truth").alias(label))
     patients = votes.join(nights.groupBy(key).agg(F.min(dataset).alias(dataset)), key)
-    levels = {"night": nights, "patient": patients}
-    out = [choose_threshold(d, score, label, name, dataset).select(F.lit(f).alias("level"), F.lit(name).alias("name"), "threshold") for f, d in levels.items()]
+    return {"night": nights.select(score, label, dataset), "patient": patients.select(score, label, dataset)}
+
+
+def night_and_patient_thresholds(nights: DataFrame, key: str, score: str, label: str, name: str, dataset: str) -> DataFrame:
+    """(level, name, threshold) of nights and of patients, whose score is the mean of their nights'."""
+    out = [choose_threshold(d, score, label, name, dataset).select(F.lit(f).alias("level"), F.lit(name).alias("name"), "threshold") for f, d in _levels(nights, key, score, label, dataset).items()]
     return out[0].union(out[1])
 
 
+#: All names beside fixed numbers.
+NAMES = ("default", *BASE, "macro_ba", "macro_ba_weighted", *(f"{b}_per_dataset_{c}" for b in BASE for c in ("mean", "median")))
+
+
+def threshold_menu(nights: DataFrame, key: str, score: str, label: str, dataset: str, names: list[str] = NAMES) -> DataFrame:
+    """(level, name, threshold) of many names at once: each level's curves, over all and by data set, are made and written once."""
+    out = None
+    for level, df in _levels(nights, key, score, label, dataset).items():
+        rows = materialize(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), f"{level}-rows")
+        points = {}
+        for of, keys in (("all", []), ("set", [dataset])):
+            c = materialize(V.curve(rows, score, label, keys).where("p > 0 and n > 0").withColumn("_one", F.lit(1)), f"{level}-{of}")
+            by = [*keys, "_one"]
+            pr = V.pr_operating_points(c, by).select(*by, F.col("dist_threshold").alias("pr_dist"), F.col("f1_threshold").alias("pr_f1"))
+            found = V.roc_operating_point(c, by).select(*by, F.col("threshold").alias("roc_dist")).join(pr, by)
+            points[of] = materialize(found, f"{level}-{of}-points")  # a row, or a row a data set
+        for name in names:
+            method, _, combine = name.partition("_per_dataset_")
+            if name in BASE:
+                one = points["all"].agg(F.max(name).alias("threshold"))
+            elif method in BASE and combine in ("mean", "median"):
+                one = points["set"].agg((F.avg(method) if combine == "mean" else F.median(method)).alias("threshold"))
+            else:
+                one = choose_threshold(rows, score, label, name, dataset)
+            one = one.select(F.lit(level).alias("level"), F.lit(name).alias("name"), "threshold")
+            out = one if out is None else out.union(one)
+    return out
+
+
 def _on_grid(c: DataFrame, keys: list[str], x: str, y: str, total: str, points: int, value) -> DataFrame:
     """(keys, i, at): ``value`` of the curve's points, linear between them at i / (points - 1) of ``total`` along ``x``.
 

@@ -59,7 +59,7 @@ def sphere_calibration(spark, sf_dir):
     return P.calibration(still)
 
 
-@register("info_json")
+@register("info_json", "SELECT CAST(to_json(t) AS VARCHAR) AS info FROM customer t")
 def info_json(spark, sf_dir):
     return T.info_json(table(spark, sf_dir, "customer"))
 

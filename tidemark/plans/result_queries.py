@@ -14,7 +14,7 @@ from .evaluation_queries import CURVE, D, curve, scored
 from .feature_queries import bouts
 from .series_queries import r
 
-NAMES = ["default", "fixed:0.4", "roc_dist", "pr_f1", "macro_ba", "roc_dist_per_dataset_mean", "pr_f1_per_dataset_median"]
+NAMES = ["fixed:0.4", *T.NAMES]
 
 
 def _menu(rows: str, group: str) -> str:
@@ -26,16 +26,21 @@ cg AS (SELECT g, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) O
 ok AS (SELECT * FROM cg WHERE p > 0 AND n > 0),
 rd AS (SELECT g, score, sqrt((fp / n) ** 2 + (1 - tp / p) ** 2) AS v FROM ok),
 rg AS (SELECT g, CASE WHEN v < 1 THEN score ELSE 0.5 END AS t FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v, score DESC) AS i FROM rd) WHERE i = 1),
+pg AS (SELECT g, score AS t FROM (SELECT g, score, row_number() OVER (PARTITION BY g ORDER BY round(sqrt((1 - tp / (tp + fp)) ** 2 + (1 - tp / p) ** 2), 12), score DESC) AS i FROM ok) WHERE i = 1),
 fg AS (SELECT g, score AS t FROM (SELECT g, score, row_number() OVER (PARTITION BY g ORDER BY round(2 * tp / (tp + fp + p), 12) DESC, score DESC) AS i FROM ok) WHERE i = 1),
 a AS (SELECT score, sqrt((fp / n) ** 2 + (1 - tp / p) ** 2) AS v FROM c WHERE p > 0 AND n > 0),
 t AS (SELECT unnest(range(0, 401)) / 400 AS threshold UNION SELECT p FROM d),
 gs AS (SELECT {group} AS g, sum((y = 1)::INT) AS p, sum((y = 0)::INT) AS n FROM d GROUP BY ALL HAVING sum((y = 1)::INT) > 0 AND sum((y = 0)::INT) > 0),
-m AS (SELECT threshold, avg(ba) AS ba FROM (SELECT threshold, gs.g, (count(*) FILTER (d.p >= threshold AND y = 1) / any_value(gs.p) + 1 - count(*) FILTER (d.p >= threshold AND y = 0) / any_value(gs.n)) / 2 AS ba FROM t, gs, d WHERE d.{group} = gs.g GROUP BY threshold, gs.g) GROUP BY threshold)
+m AS (SELECT threshold, avg(ba) AS ba, sum(ba * size ** 2) / sum(size ** 2) AS wa FROM (SELECT threshold, gs.g, any_value(gs.p + gs.n)::DOUBLE AS size, (count(*) FILTER (d.p >= threshold AND y = 1) / any_value(gs.p) + 1 - count(*) FILTER (d.p >= threshold AND y = 0) / any_value(gs.n)) / 2 AS ba FROM t, gs, d WHERE d.{group} = gs.g GROUP BY threshold, gs.g) GROUP BY threshold)
 SELECT 'default' AS name, 0.5::DOUBLE AS threshold UNION ALL SELECT 'fixed:0.4', 0.4::DOUBLE
 UNION ALL SELECT 'roc_dist', (SELECT CASE WHEN v < 1 THEN score ELSE 0.5 END FROM a ORDER BY v, score DESC LIMIT 1)
 UNION ALL SELECT 'pr_f1', (SELECT score FROM c WHERE p > 0 AND n > 0 ORDER BY round(2 * tp / (tp + fp + p), 12) DESC, score DESC LIMIT 1)
 UNION ALL SELECT 'macro_ba', (SELECT threshold FROM m ORDER BY round(ba, 9) DESC, threshold LIMIT 1)
-UNION ALL SELECT 'roc_dist_per_dataset_mean', (SELECT avg(t) FROM rg) UNION ALL SELECT 'pr_f1_per_dataset_median', (SELECT median(t) FROM fg)"""
+UNION ALL SELECT 'macro_ba_weighted', (SELECT threshold FROM m ORDER BY round(wa, 9) DESC, threshold LIMIT 1)
+UNION ALL SELECT 'pr_dist', (SELECT score FROM c WHERE p > 0 AND n > 0 ORDER BY round(sqrt((1 - tp / (tp + fp)) ** 2 + (1 - tp / p) ** 2), 12), score DESC LIMIT 1)
+UNION ALL SELECT 'roc_dist_per_dataset_mean', (SELECT avg(t) FROM rg) UNION ALL SELECT 'roc_dist_per_dataset_median', (SELECT median(t) FROM rg)
+UNION ALL SELECT 'pr_dist_per_dataset_mean', (SELECT avg(t) FROM pg) UNION ALL SELECT 'pr_dist_per_dataset_median', (SELECT median(t) FROM pg)
+UNION ALL SELECT 'pr_f1_per_dataset_mean', (SELECT avg(t) FROM fg) UNION ALL SELECT 'pr_f1_per_dataset_median', (SELECT median(t) FROM fg)"""
 
 
 NIGHTS = "SELECT least(n_chars / 4096.0::DOUBLE, 1.0::DOUBLE) AS p, quality AS y, doc_id % 997 AS who, lang FROM labels JOIN documents USING (doc_id)"
@@ -48,10 +53,7 @@ PATIENTS = f"SELECT avg(p) AS p, max(y) AS y, min(lang) AS lang FROM ({NIGHTS})
 )
 def threshold_menu(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("who", F.col("doc_id") % 997)
-    out = None
-    for name in NAMES:
-        one = T.night_and_patient_thresholds(rows, "who", "p", "y", name, "lang")
-        out = one if out is None else out.union(one)
+    out = T.threshold_menu(rows, "who", "p", "y", "lang", NAMES)
     return out.select("level", "name", r("threshold", 9).alias("threshold"))
 
 
