@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts_of, whole_numbers
+from .common import bounded_batches, release, texts_of, whole_numbers
 
 WINDOW = 1024
 TIERS = (128, 256, 512, 1024)
@@ -203,5 +203,9 @@ def pack(
                 if packer.tokens >= pool_tokens:
                     yield packer.flush(last=False)
         yield packer.flush(last=True)
+        # A vocabulary takes 40 MB in each worker.
+        del encode
+        encoder.cache_clear()
+        release()
 
     return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bounded_batches, materialize, remove_tables, span_hashes, texts_of
+from .common import WORD_BYTES, bounded_batches, materialize, release, remove_tables, span_hashes, texts_of
 
 #: Labelled documents of each class that are learned from, at most (in expectation: chosen by hash).
 SAMPLE = 3000
@@ -349,5 +349,7 @@ def keep_clean(df: DataFrame, classifier: Classifier, text_col: str = "text", th
         for batch in batches:
             _, mean, _ = evidence(ratios, texts_of(batch.column(at)))
             yield batch.filter(pa.array(link.score(mean) < threshold))
+        del ratios, model
+        release()
 
     return df.mapInArrow(run, df.schema)
