@@ -78,9 +78,7 @@ class Pattern:
 def token_counts(df: DataFrame, url_col: str, tokens: Iterable[str]) -> dict[str, int]:
     """How many URLs hold each of the rules' tokens, over all rows: at most one count a token."""
     wanted = sorted(set(tokens))
-    # As many rows as the rules have tokens; the rules themselves are in each task's closure.
-    rules = F.broadcast(df.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))
-    own = df.select(F.explode(F.array_distinct(F.split(F.lower(df[url_col]), "[^a-z0-9]+"))).alias("token")).join(rules, "token")
+    own = df.select(F.explode(F.array_distinct(F.split(F.lower(df[url_col]), "[^a-z0-9]+"))).alias("token")).where(F.col("token").isin(wanted))
     return dict.fromkeys(wanted, 0) | {r.token: r.n for r in own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
