@@ -583,7 +583,7 @@ def test_odd_long_texts_are_packed_and_materialised_whole(spark, tmp_path):
 
 def test_string_ids_are_refused_before_any_task(spark):
     df = spark.createDataFrame([("a", "b")], "doc_id string, text string")
-    for f in (packing.pack, licenses.scan, lambda d: materialise.write_shards(d, "file:///nowhere")):
+    for f in (packing.pack, licenses.scan, lambda d: materialise.write_shards(d, "file:///nowhere"), ppm.score, sketches.sketch, sketches.next_likeness, lambda d: toxicity.score(d, None)):
         with pytest.raises(TypeError):
             f(df)
 

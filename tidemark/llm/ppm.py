@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, remove_tables, signed, span_hashes, texts_of, words_of
+from .common import bounded_batches, materialize, signed, span_hashes, texts_of, whole_numbers, words_of
 
 ORDER, LOW = 5, 2
 #: Rows of each broadcast table.
@@ -300,9 +300,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     Rows whose crc32 of the id as text is divisible by ``folds`` are held out of all counts.  A
     null or empty text is the end alone, and a null id counts as the empty text (held out) and is
     returned as null; repeated rows count and are scored each; an empty table gives no rows; a text
-    is one task's work and held whole; without training rows every symbol has probability 1 / 256; other columns are not read.
+    is one task's work and held whole; without training rows every symbol has probability 1 / 256; ids
+    are whole numbers; other columns are not read.
     """
     spark = df.sparkSession
+    whole_numbers(df, id_col)
     bounded_batches(spark)
     out_fold = F.crc32(F.coalesce(df[id_col].cast("string"), F.lit("")).cast("binary")) % folds == 0
     docs = df.select(df[id_col].cast("long").alias("doc_id"), out_fold.alias("held_out"), df[text_col].alias("text"))

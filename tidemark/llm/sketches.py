@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, hashed_words, shingle_hashes, slices, texts_of
+from .common import bounded_batches, hashed_words, shingle_hashes, slices, texts_of, whole_numbers
 
 #: Words of a shingle, and the kept share of the hash range.
 SHINGLE, FRACTION = 5, 0.25
@@ -59,7 +59,8 @@ def likeness(a: tuple, b: tuple) -> tuple[float, float]:
 
 
 def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """(doc_id, n_shingles, hashes): one row per row, for joins and merges; a null text has no hashes."""
+    """(doc_id, n_shingles, hashes): one row per row, for joins and merges; a null text has no hashes; ids are whole numbers."""
+    whole_numbers(df, id_col)
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +121,10 @@ def next_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The next document is that of the next lower id, after the lowest that of the highest; the
     edited text replaces the last half of the code points by the next document's first as many.
     A null text is empty and a null id comes after all others; rows that repeat an id follow one
-    another by text; a single row is its own successor; other columns are not read.
+    another by text; a single row is its own successor; ids are whole numbers; other columns are not read.
     """
     spark = df.sparkSession
+    whole_numbers(df, id_col)
     bounded_batches(spark)
     spread = with_next(df, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

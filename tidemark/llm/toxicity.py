@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bounded_batches, materialize, release, remove_tables, span_hashes, texts_of
+from .common import WORD_BYTES, bounded_batches, materialize, release, remove_tables, span_hashes, texts_of, whole_numbers
 
 #: Labelled documents of each class that are learned from, at most (in expectation: chosen by hash).
 SAMPLE = 3000
@@ -314,8 +314,9 @@ def score(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_co
 
     A null or wordless text scores as one without evidence; repeated rows are scored each; a null
     id is held out and returned as null; an empty table gives no rows; a very long text is one row's work and held whole;
-    no column but the text enters the score, and columns of any other name are not read.
+    no column but the text enters the score, and columns of any other name are not read.  Ids are whole numbers.
     """
+    whole_numbers(df, id_col)
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(classifier)
 
