@@ -69,9 +69,10 @@ def test_a_killed_run_goes_on_without_fitting_finished_folds(nights, tmp_path, m
     with pytest.raises(ValueError, match="other arguments"):
         run(seed=5)
     monkeypatch.setattr(T, "fit", real)
-    whole = T.nested_runs(nights, f"{path}2", "who", "lr", ["a", "b", "c"], "y", **options)
+    # An undisturbed run of the first repeat alone has its seeds, and so its rows.
+    whole = T.nested_runs(nights, f"{path}2", "who", "lr", ["a", "b", "c"], "y", **(options | {"repeats": 1}))
     key = lambda r: (r.repeat, r.outer_fold, r.level)
-    for a, b in zip(sorted(rows, key=key), sorted(whole.collect(), key=key)):
+    for a, b in zip(sorted((r for r in rows if r.repeat == 0), key=key), sorted(whole.collect(), key=key), strict=True):
         assert a.setting == b.setting and a.roc_auc == pytest.approx(b.roc_auc)
 
 
@@ -118,7 +119,7 @@ def test_boruta_takes_planted_features_and_leaves_noise(spark):
         few = T.binomial_tail(9, 9 - r.hits) < 0.05 / 5
         assert r.decision == ("accepted" if r.hits == 9 else "rejected" if few else "tentative") and r.repeats == 9
     assert {got["f1"].rank, got["f3"].rank} == {1, 2}
-    again = {r.feature: r for r in T.boruta(df.repartition(3), "id", features, "y", repeats=2, trees=15).collect()}
-    same = {r.feature: r for r in T.boruta(df, "id", features, "y", repeats=2, trees=15).collect()}
+    again = {r.feature: r for r in T.boruta(df.repartition(3), "id", features, "y", repeats=1, trees=15).collect()}
+    same = {r.feature: r for r in T.boruta(df, "id", features, "y", repeats=1, trees=15).collect()}
     assert {f: (r.hits, r.importance) for f, r in again.items()} == {f: (r.hits, r.importance) for f, r in same.items()}
     assert T.binomial_tail(9, 9) == 1 / 512 and T.binomial_tail(4, 0) == 1

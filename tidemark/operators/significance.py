@@ -1,16 +1,18 @@
 """Significance of differences between two groups, and of departures from the normal distribution.
 
 Statistics come from aggregates and running totals over all rows; their p-values are column
-expressions: the incomplete beta function by its continued fraction and the normal tail by a series
-and a continued fraction, each with a fixed number of steps.
+expressions over a row a feature: the incomplete beta function by its continued fraction and the normal
+tail by a series and a continued fraction, each with a fixed number of steps.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .evaluation import running_totals
 from .ranking import long_features, ranked
@@ -89,6 +91,12 @@ def normal_tails(z: Column) -> Column:
     return F.when(x < 2.5, inner).otherwise(2 * density / down)
 
 
+@F.pandas_udf(DoubleType())
+def normal_below(z: pd.Series) -> pd.Series:
+    """Chance that a standard normal number is at most ``z``, for long columns: an Arrow batch at a time."""
+    return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) for x in z.tolist()])
+
+
 def fisher_combined(p: Column, q: Column) -> Column:
     """One chance from two by Fisher's method: the chi-square tail of four degrees of freedom in closed form; 0 if either is."""
     both = p * q
@@ -154,7 +162,8 @@ def normal_distance(df: DataFrame, features: list[str], keys: list[str] = ()) ->
     j = cum.join(m, by)
     ok = (F.col("total") > 1) & (F.col("s") > 0)
     z = F.when(ok, (F.col("value") - F.col("m")) / F.when(ok, F.col("s")))
-    below = F.when(z < 0, normal_tails(z) / 2).otherwise(1 - normal_tails(z) / 2)
+    # A chance for each distinct value: here the series' hundreds of steps would cost more than a batch does.
+    below = F.when(z.isNotNull(), normal_below(F.coalesce(z, F.lit(0.0))))
     upto, before = F.col("cum_n") / F.col("total"), (F.col("cum_n") - F.col("n")) / F.col("total")
     found = j.groupBy(*by, "total").agg(F.max(F.greatest(upto - below, below - before)).alias("distance"))
     root = F.sqrt(F.col("total").cast("double"))
