@@ -68,6 +68,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def release() -> None:
     """Give freed memory back to the machine at the end of a task, as its worker lives on beside those of later stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps so much that this pays
     if trim:
         trim(0)
