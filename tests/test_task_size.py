@@ -23,3 +23,10 @@ def test_filter_makes_its_responses_once():
     made = dsp._responses.cache_info().misses
     dsp.zero_phase(np.arange(64.0)[::-1], sections)
     assert dsp._responses.cache_info().misses == made
+
+
+def test_values_are_dealt_before_correlations_count_them(spark):
+    df = table(spark).where("y < 2")
+    assert "REPARTITION_BY_NUM" in plan(R.label_correlations(df, ["a", "b"], "y"))
+    assert "REPARTITION_BY_NUM" in plan(R.average_ranks(df, "a"))
+    assert "REPARTITION_BY_NUM" in plan(R.mann_whitney_u(df, "a", "y", 0, 1))

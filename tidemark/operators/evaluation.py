@@ -20,6 +20,16 @@ from tidemark.functions.shared import materialize
 RANGES = 256
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, dealt to all shuffle partitions by their hash before values are counted.
+
+    Counting keeps a task's distinct values in memory, and a file's split may hold millions of rows; the
+    partitions' number is given, so that adaptive execution doesn't join them again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*columns).repartition(n, *columns)
+
+
 def running_totals(df: DataFrame, keys: list[str], order: str, columns: list[str], descending: bool = True, ranges: int = RANGES) -> DataFrame:
     """``df`` (a row for each key and value of ``order``) with cum_<column>: the totals up to and with the row."""
     ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")) if keys else df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
@@ -39,7 +49,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, columns: list[str
 def curve(df: DataFrame, score: str, label: str, keys: list[str] = ()) -> DataFrame:
     """(keys, score, pos, neg, tp, fp, p, n): for each distinct score as threshold (>=), true and false positives, with the totals."""
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    counts = dealt(df, *dict.fromkeys([*keys, score, label])).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
     cum = running_totals(counts, keys, "score", ["pos", "neg"]).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})

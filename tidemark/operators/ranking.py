@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import correlation
 
-from .evaluation import running_totals
+from .evaluation import dealt, running_totals
 from .quantiles import quantile_columns
 from .windows import rank_max
 
@@ -48,7 +48,7 @@ def apply_scale(df: DataFrame, parameters: DataFrame, features: list[str], keys:
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, rank, n): ranks from 1 by ascending value, ties at their mean; a row for each distinct value."""
-    counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = dealt(df, value).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, [], "value", ["n"], descending=False)
     return cum.select("value", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("rank"), "n")
 
@@ -66,7 +66,7 @@ def label_correlations(df: DataFrame, features: list[str], label: str) -> DataFr
     Spearman is Pearson's of mean ranks; Kendall's tau-b follows from how many rows of each label
     lie below each distinct value: running totals, not pairs.
     """
-    rows = long_features(df, features, label).withColumn("y", F.col(label).cast("long"))
+    rows = long_features(dealt(df, *dict.fromkeys([*features, label])), features, label).withColumn("y", F.col(label).cast("long"))
     counts = rows.groupBy("feature", "value").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("neg", F.col("n") - F.col("pos"))
     cum = running_totals(counts, ["feature"], "value", ["n", "neg", "pos"], descending=False)
@@ -145,7 +145,7 @@ def welch_t(df: DataFrame, value: str, group: str, a, b, keys: list[str] = ()) -
 def mann_whitney_u(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """(u, n0, n1) of group ``a`` against ``b``: rank sum less its least value, ties at half."""
     rows = df.where(F.col(group).isin(a, b)).withColumn("pos", (F.col(group) == a).cast("long"))
-    counts = rows.groupBy(F.col(value).alias("value")).agg(F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = dealt(rows, value, "pos").groupBy(F.col(value).alias("value")).agg(F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, [], "value", ["n"], descending=False)
     rank = F.col("cum_n") - (F.col("n") - 1) / 2
     s = cum.agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("n0"), F.sum(F.col("n") - F.col("pos")).alias("n1"))
