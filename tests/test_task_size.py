@@ -30,3 +30,7 @@ def test_values_are_dealt_before_correlations_count_them(spark):
     assert "REPARTITION_BY_NUM" in plan(R.label_correlations(df, ["a", "b"], "y"))
     assert "REPARTITION_BY_NUM" in plan(R.average_ranks(df, "a"))
     assert "REPARTITION_BY_NUM" in plan(R.mann_whitney_u(df, "a", "y", 0, 1))
+
+
+def test_values_are_dealt_before_significance_counts_them(spark):
+    assert "REPARTITION_BY_NUM" in plan(S.rank_significance(table(spark), ["a", "b"], "y", 0, 1))

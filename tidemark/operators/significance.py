@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .evaluation import running_totals
+from .evaluation import dealt, running_totals
 from .ranking import long_features, ranked
 
 #: Steps of the continued fractions and series.
@@ -110,8 +110,10 @@ def group_statistics(df: DataFrame, features: list[str], group: str, a, b) -> Da
     other groups take no part.  A statistic that the data don't define (a group of fewer than two rows, no
     spread) is null, and so is its chance.
     """
-    rows = long_features(df.where(F.col(group).isin(a, b)), features, group).where("value is not null")
-    counts = rows.groupBy("feature", "value").agg(F.sum((F.col(group) == a).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    both = df.where(F.col(group).isin(a, b))
+    rows = long_features(both, features, group).where("value is not null")
+    spread_out = long_features(dealt(both, *dict.fromkeys([*features, group])), features, group).where("value is not null")
+    counts = spread_out.groupBy("feature", "value").agg(F.sum((F.col(group) == a).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, ["feature"], "value", ["n"], descending=False)
     rank = F.col("cum_n") - (F.col("n") - 1) / 2
     d = lambda c: F.col(c).cast("double")
