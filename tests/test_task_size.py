@@ -34,3 +34,7 @@ def test_values_are_dealt_before_correlations_count_them(spark):
 
 def test_values_are_dealt_before_significance_counts_them(spark):
     assert "REPARTITION_BY_NUM" in plan(S.rank_significance(table(spark), ["a", "b"], "y", 0, 1))
+
+
+def test_values_are_dealt_before_normal_distance_counts_them(spark):
+    assert "REPARTITION_BY_NUM" in plan(S.normal_distance(table(spark), ["a", "b"]))

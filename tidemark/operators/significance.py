@@ -160,7 +160,8 @@ def normal_distance(df: DataFrame, features: list[str], keys: list[str] = ()) ->
     rows = long_features(df, features, *keys).where("value is not null")
     by = [*keys, "feature"]
     m = rows.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("total"))
-    cum = running_totals(rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")), by, "value", ["n"], descending=False)
+    spread_out = long_features(dealt(df, *dict.fromkeys([*features, *keys])), features, *keys).where("value is not null")
+    cum = running_totals(spread_out.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")), by, "value", ["n"], descending=False)
     j = cum.join(m, by)
     ok = (F.col("total") > 1) & (F.col("s") > 0)
     z = F.when(ok, (F.col("value") - F.col("m")) / F.when(ok, F.col("s")))
