@@ -38,3 +38,13 @@ def test_values_are_dealt_before_significance_counts_them(spark):
 
 def test_values_are_dealt_before_normal_distance_counts_them(spark):
     assert "REPARTITION_BY_NUM" in plan(S.normal_distance(table(spark), ["a", "b"]))
+
+
+def test_scale_parameters_go_to_the_rows(spark):
+    df = table(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(R.apply_scale(df, R.scale_parameters(df.where("y > 0"), ["a", "b"], "standard", ["y"]), ["a", "b"], ["y"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in found

@@ -33,14 +33,17 @@ def scale_parameters(df: DataFrame, features: list[str], method: str, keys: list
 
 
 def apply_scale(df: DataFrame, parameters: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
-    """Scaled features; with keys, rows of a key without parameters get the mean of all keys' (macro average)."""
+    """Scaled features; with keys, rows of a key without parameters get the mean of all keys' (macro average).
+
+    Keys are few (data sets): their parameters go to the rows, which are not dealt by key.
+    """
     if not keys:
         joined = df.crossJoin(F.broadcast(parameters))  # one row
         value = lambda f, p: F.col(f"{f}_{p}")
     else:
         names = [f"{f}_{p}" for f in features for p in "cs"]
         macro = parameters.agg(*[F.avg(n).alias(f"_m_{n}") for n in names])
-        joined = df.join(parameters, keys, "left").crossJoin(F.broadcast(macro))  # one row
+        joined = df.join(F.broadcast(parameters), keys, "left").crossJoin(F.broadcast(macro))  # one row
         value = lambda f, p: F.coalesce(F.col(f"{f}_{p}"), F.col(f"_m_{f}_{p}"))
     keep = [c for c in df.columns if c not in features]
     return joined.select(*keep, *[((F.col(f) - value(f, "c")) / value(f, "s")).alias(f) for f in features])
