@@ -48,3 +48,13 @@ def test_scale_parameters_go_to_the_rows(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in found
+
+
+def test_fold_rows_are_dealt_before_they_are_grouped(spark):
+    rows = [(s, 1, o, i, "test" if s % 2 == o else "train") for s in range(6) for o in (0, 1) for i in (0, 1)]
+    schema = "subject_id int, repeat int, outer_fold int, inner_fold int, role string"
+    checked = C.check_folds(spark.createDataFrame(rows, schema))
+    assert "REPARTITION_BY_NUM" in plan(checked)
+    assert checked.collect() == []
+    bad = [*rows[:-1], (5, 1, 1, 1, "train"), (0, 1, 0, 0, "train"), (9, 1, 0, 0, "train")]
+    assert {r.problem: r.n for r in C.check_folds(spark.createDataFrame(bad, schema)).collect()} == {"overlap": 1, "test_moves": 1, "not_tested_once": 1}

@@ -169,12 +169,19 @@ def check_folds(folds: DataFrame) -> DataFrame:
     """
     c = ["repeat", "outer_fold", "inner_fold"]
     bad_role = folds.where(~F.col("role").isin("train", "validation", "test")).select(F.lit("role").alias("problem"))
-    overlap = folds.groupBy("subject_id", *c).agg(F.countDistinct("role").alias("k")).where("k > 1").select(F.lit("overlap"))
-    inner = folds.select(*c).distinct().groupBy("repeat", "outer_fold").agg(F.count(F.lit(1)).alias("inner"))
-    tests = folds.where("role = 'test'").groupBy("subject_id", "repeat", "outer_fold").agg(F.countDistinct("inner_fold").alias("k"))
-    moved = tests.join(inner, ["repeat", "outer_fold"]).where("k <> inner").select(F.lit("test_moves"))
-    once = folds.groupBy("subject_id", "repeat").agg(F.countDistinct(F.when(F.col("role") == "test", F.col("outer_fold"))).alias("k")).where("k <> 1").select(F.lit("not_tested_once"))
-    grid = folds.agg((F.countDistinct("repeat") * F.countDistinct("outer_fold") * F.countDistinct("inner_fold") - F.countDistinct(*c)).alias("k")).where("k > 0").select(F.lit("grid"))
+    # Dealt by subject into a given number of parts: each row is a group of its own or nearly so, and a file's split
+    # holds too many of them to aggregate before the shuffle.
+    n = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = folds.select("subject_id", *c, "role").repartition(n, "subject_id")
+    unlike = lambda v: F.min(v) < F.max(v)
+    overlap = own.groupBy("subject_id", *c).agg(unlike("role").alias("k")).where("k").select(F.lit("overlap"))
+    splits = folds.select(*c).distinct()
+    inner = splits.groupBy("repeat", "outer_fold").agg(F.count(F.lit(1)).alias("inner"))
+    tests = own.where("role = 'test'").groupBy("subject_id", "repeat", "outer_fold").agg(F.countDistinct("inner_fold").alias("k"))
+    moved = tests.join(F.broadcast(inner), ["repeat", "outer_fold"]).where("k <> inner").select(F.lit("test_moves"))  # folds are few
+    tested = F.when(F.col("role") == "test", F.col("outer_fold"))
+    once = own.groupBy("subject_id", "repeat").agg(F.coalesce(unlike(tested), F.lit(True)).alias("k")).where("k").select(F.lit("not_tested_once"))
+    grid = splits.agg((F.countDistinct("repeat") * F.countDistinct("outer_fold") * F.countDistinct("inner_fold") - F.countDistinct(*c)).alias("k")).where("k > 0").select(F.lit("grid"))
     return bad_role.union(overlap).union(moved).union(once).union(grid).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
