@@ -58,3 +58,14 @@ def test_fold_rows_are_dealt_before_they_are_grouped(spark):
     assert checked.collect() == []
     bad = [*rows[:-1], (5, 1, 1, 1, "train"), (0, 1, 0, 0, "train"), (9, 1, 0, 0, "train")]
     assert {r.problem: r.n for r in C.check_folds(spark.createDataFrame(bad, schema)).collect()} == {"overlap": 1, "test_moves": 1, "not_tested_once": 1}
+
+
+def test_night_quantiles_without_maps_of_values(spark):
+    values = {"a": [3.0, 1.0, 2.0, 2.0, 9.0, None], "b": [5.0], "c": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    found = N.eight_statistics(df, ["k"], ["v"])
+    assert "percentile" not in plan(found)
+    got = {r.k: (r.v_p10, r.v_iqr, r.v_p90) for r in found.collect()}
+    p = lambda q: float(np.quantile([3.0, 1.0, 2.0, 2.0, 9.0], q))
+    assert np.allclose(got["a"], (p(0.1), p(0.75) - p(0.25), p(0.9)))
+    assert got["b"] == (5.0, 0.0, 5.0) and got["c"] == (None, None, None)

@@ -15,17 +15,25 @@ from tidemark.functions.dsp import find_peaks
 def eight_statistics(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """mean, std, skew, kurt (sample forms), mad, iqr, 10th and 90th percentile of each feature by group, one row a group.
 
-    The mean deviation comes from a second pass over group means joined back, so no group is held whole.
+    Ranks and means come from windows over the group, which spill, and one aggregate follows in the same
+    tasks: a quantile is the sum of the two ranks beside it, weighted by their nearness.
     """
-    means = df.groupBy(*keys).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
-    joined = df.join(means, keys)
+    group = Window.partitionBy(*keys)
+    # Given a number, the parts aren't joined again, so that a task's sorts stay small.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).repartition(n, *keys)
+    rows = rows.select("*", *[c for f in features for c in (F.avg(f).over(group).alias(f"_m_{f}"), (F.count(f).over(group) - 1).alias(f"_n_{f}"))])
+    for f in features:
+        rows = rows.withColumn(f"_i_{f}", F.row_number().over(group.orderBy(F.col(f).asc_nulls_last())) - 1)
     out = []
     for f in features:
+        near = lambda q: 1 - F.abs(F.col(f"_i_{f}") - q * F.col(f"_n_{f}"))  # noqa: B023, E731
+        at = {q: F.sum(F.when(near(q) > 0, F.col(f) * near(q))) for q in (0.1, 0.25, 0.75, 0.9)}
         out += [
             F.avg(f).alias(f"{f}_mean"), F.stddev_samp(f).alias(f"{f}_std"), skew_sample(f).alias(f"{f}_skew"), kurtosis_sample(f).alias(f"{f}_kurt"),
-            F.avg(F.abs(F.col(f) - F.col(f"_m_{f}"))).alias(f"{f}_mad"), iqr(f).alias(f"{f}_iqr"), quantile(f, 0.1).alias(f"{f}_p10"), quantile(f, 0.9).alias(f"{f}_p90"),
+            F.avg(F.abs(F.col(f) - F.col(f"_m_{f}"))).alias(f"{f}_mad"), (at[0.75] - at[0.25]).alias(f"{f}_iqr"), at[0.1].alias(f"{f}_p10"), at[0.9].alias(f"{f}_p90"),
         ]
-    return joined.groupBy(*keys).agg(*out)
+    return rows.groupBy(*keys).agg(*out)
 
 
 def movement_gate(df: DataFrame, keys: list[str], more_than: int = 10) -> DataFrame:
