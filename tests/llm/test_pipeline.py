@@ -64,3 +64,11 @@ def test_stages_survive_odd_rows(spark, edge, empty):
         assert stage(spark, empty, SF).count() == 0
     assert sum(r.length for r in cp.packing(spark, odd, SF).collect()) > odd.count()
     assert cp.packing(spark, empty, SF).count() == 0
+
+
+def test_training_leaves_the_drivers_memory(spark, docs, monkeypatch):
+    """Once the models are broadcast the driver gives its copies back, before the next stage's work."""
+    told = []
+    monkeypatch.setattr(cp, "release", lambda: told.append(True), raising=False)
+    cp.toxicity(spark, docs, SF)
+    assert told == [True]
