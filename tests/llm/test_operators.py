@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -622,6 +623,32 @@ def test_kneser_ney_ratios_against_plain_counts():
         assert toxicity.log_ratios(model, [w])[0] == pytest.approx(want, rel=1e-3, abs=1e-6)
 
 
+def test_toxicity_ratios_of_many_words_take_little_memory():
+    """A batch may hold 100,000 words unlike each other: what is held beside them must not grow with their bytes."""
+    rng = np.random.default_rng(2)
+    many = [bytes(w) for w in rng.integers(97, 123, (100_000, 9), dtype=np.uint8)] + [b"", b"x" * 300_000, b"after"]
+    model = toxicity.fit(many[:5_000], np.ones(5_000, np.int64), np.arange(5_000))
+    tracemalloc.start()
+    got = toxicity.log_ratios(model, many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    some = [0, 17, 99_999, 100_000, 100_001, 100_002]
+    assert got[some].tolist() == [float(toxicity.log_ratios(model, [many[i]])[0]) for i in some]
+    assert len(toxicity.log_ratios(model, [])) == 0
+
+
+def test_toxicity_remembers_no_more_words_than_its_limit():
+    model = toxicity.fit([b"scum", b"day"], np.array([3, 1]), np.array([1, 3]))
+    ratios = toxicity.Ratios(model, limit=4)
+    for batch in ([b"scum", b"day", b"a"], [b"b", b"c", b"scum"], [b"scum", b"day"]):
+        assert ratios(batch).tolist() == toxicity.log_ratios(model, batch).tolist() and len(ratios.known) <= 4
+    texts = ["scum day", "", "b " * 700_000, "day"]
+    n, mean, strongest = toxicity.evidence(ratios, texts)
+    assert n.tolist() == [2, 0, 700_000, 1] and strongest == [b"scum", None, b"b", b"day"]
+    assert mean.tolist() == [float(toxicity.evidence(ratios, [t])[1][0]) for t in texts]
+
+
 def test_toxicity_score_rises_with_the_ratio_and_learns_from_a_bounded_sample(spark):
     rows = [(i, f"{prose(i + 1, 30)} {'zorvex' if i % 4 == 0 else ''}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

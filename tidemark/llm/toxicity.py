@@ -38,6 +38,8 @@ TOXIC_SHARE = 0.01
 REMEMBERED = 1 << 18
 #: Words that are counted at once.
 BLOCK_WORDS = 1 << 15
+#: Bytes of words whose ratios are found at once, and of texts whose words are; a longer word or text is taken alone.
+RATIO_BYTES, PIECE_BYTES = 1 << 17, 1 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_words long, log_ratio double, strongest string"
 
 
@@ -137,10 +139,24 @@ def fit(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     return Model(tuple(classes), tuple(shared))
 
 
+def runs_of(items: list, limit: int) -> Iterator[list]:
+    """The items in order, in runs whose lengths add up to ``limit`` at most; a longer item is a run of its own."""
+    first, size = 0, 0
+    for i, x in enumerate(items):
+        if i > first and size + len(x) > limit:
+            yield items[first:i]
+            first, size = i, 0
+        size += len(x)
+    if first < len(items):
+        yield items[first:]
+
+
 def log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
     """Each word's log-likelihood in a toxic document less that in an ordinary one."""
-    if not words:
-        return np.zeros(0)
+    return np.concatenate([np.zeros(0), *(_log_ratios(model, run) for run in runs_of(words, RATIO_BYTES))])
+
+
+def _log_ratios(model: Model, words: list[bytes]) -> np.ndarray:
     s = spans(words)
     p = np.full(len(s.at), 1 / 257)
     for k, counts in enumerate(reversed(model.shared)):
@@ -161,15 +177,21 @@ class Ratios:
         self.model, self.limit, self.known = model, limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known = {}
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known, new = {}, words
         self.known.update(zip(new, log_ratios(self.model, new).tolist(), strict=True))
         return np.fromiter((self.known[w] for w in words), float, len(words))
 
 
 def evidence(ratios: Ratios, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     """Per text: number of words, log-likelihood ratio a word (0 without words), and the word that speaks most for toxic."""
+    found = [_evidence(ratios, run) for run in runs_of(texts, PIECE_BYTES)]
+    n, mean = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, float)))
+    return n, mean, [w for f in found for w in f[2]]
+
+
+def _evidence(ratios: Ratios, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     known: dict[bytes, int] = {}
     rows = [np.fromiter((known.setdefault(w, len(known)) for w in split(t)), np.int64) for t in texts]
     words = list(known)
