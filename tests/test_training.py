@@ -123,3 +123,12 @@ def test_boruta_takes_planted_features_and_leaves_noise(spark):
     same = {r.feature: r for r in T.boruta(df, "id", features, "y", repeats=1, trees=15).collect()}
     assert {f: (r.hits, r.importance) for f, r in again.items()} == {f: (r.hits, r.importance) for f, r in same.items()}
     assert T.binomial_tail(9, 9) == 1 / 512 and T.binomial_tail(4, 0) == 1
+
+
+def test_boruta_depends_on_the_rows_alone(spark):
+    """Files come back in the order of their sizes: a forest's samples must not follow it, nor how the rows were dealt before."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, i % 2, *map(float, rng.normal(size=3) + [i % 2, 0, 0])) for i in range(300)], "id long, y int, f0 double, f1 double, f2 double")
+    tables = (df, df.repartition(3), df.orderBy(F.desc("id")))
+    got = [sorted(T.boruta(d, "id", ["f0", "f1", "f2"], "y", repeats=1, trees=9).collect()) for d in tables]
+    assert got[0] == got[1] == got[2]

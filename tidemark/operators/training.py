@@ -252,10 +252,10 @@ def boruta(df: DataFrame, id_col: str, features: list[str], label: str, *, repea
     hits, seen = dict.fromkeys(features, 0), {f: [] for f in features}
     names = [*features, *(f"shadow_{f}" for f in features)]
     for r in range(repeats):
-        # Written in order of the ids, as a forest's samples depend on the rows' places.
-        both = permuted(rows, id_col, features, seed + r).select(id_col, label, *names)
-        both = materialize(both.repartitionByRange(8, id_col).sortWithinPartitions(id_col), "shadows")
-        model = L.pipeline("rf", names, label, numTrees=trees, maxDepth=depth, seed=seed + r).fit(both)
+        both = materialize(permuted(rows, id_col, features, seed + r).select(id_col, label, *names), "shadows")
+        # A forest's samples depend on the rows' places: by the ids' hashes, as files are read back by size and ranges are sampled.
+        placed = both.repartition(8, id_col).sortWithinPartitions(id_col)
+        model = L.pipeline("rf", names, label, numTrees=trees, maxDepth=depth, seed=seed + r).fit(placed)
         remove_tables(both)
         weights = dict(zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
         best = max(weights[f"shadow_{f}"] for f in features)
